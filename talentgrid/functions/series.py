@@ -6,11 +6,18 @@ of these run in place on the row and need no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(series: Column) -> Column:
     return F.aggregate(series, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -86,19 +93,17 @@ def peak_ratio(series: Column) -> Column:
 def recent_percentile(series: Column, window: int = 6) -> Column:
     """Share of the last ``window`` values not above the latest; 0.5 when too short."""
     last = F.slice(series, F.lit(-window), F.lit(window))
-    below = F.size(F.filter(last, lambda x: x <= current(series)))
+    below = let(current(series), lambda now: F.size(F.filter(last, lambda x: x <= now)))
     return F.when(F.size(series) >= window, below / F.lit(float(window))).otherwise(F.lit(0.5))
 
 
 
 def ols_slope(series: Column) -> Column:
     """Least-squares slope over x = 0..n-1; 0 for a single point."""
-    n = F.size(series)
-    x_mean = (n - 1) / F.lit(2.0)
-    y_mean = mean(series)
-    cross = total(F.transform(series, lambda y, i: (i - x_mean) * (y - y_mean)))
-    spread = total(F.transform(series, lambda _, i: (i - x_mean) * (i - x_mean)))
-    return F.when(spread != 0, cross / spread).otherwise(F.lit(0.0))
+    n = F.size(series).cast("double")
+    cross = total(F.transform(series, lambda y, i: i * y)) - (n - 1) / 2 * total(series)
+    spread = n * (n * n - 1) / 12
+    return F.when(spread > 0, cross / spread).otherwise(F.lit(0.0))
 
 
 def ols_intercept(series: Column, slope: Column) -> Column:
@@ -107,8 +112,15 @@ def ols_intercept(series: Column, slope: Column) -> Column:
 
 def nonlinearity(series: Column, slope: Column, intercept: Column) -> Column:
     """Population std of the residuals over their mean absolute value; 0 if none."""
-    residuals = F.transform(series, lambda y, i: y - (intercept + slope * i))
-    mean_abs = mean(F.transform(residuals, F.abs))
-    center = mean(residuals)
-    spread = F.sqrt(mean(F.transform(residuals, lambda r: (r - center) * (r - center))))
-    return F.when(mean_abs > 0, spread / mean_abs).otherwise(F.lit(0.0))
+
+    def spread_over_size(residuals: Column) -> Column:
+        mean_abs = mean(F.transform(residuals, F.abs))
+        squares = mean(F.transform(residuals, lambda r: r * r))
+        variance = F.greatest(squares - F.pow(mean(residuals), F.lit(2.0)), F.lit(0.0))
+        return F.when(mean_abs > 0, F.sqrt(variance) / mean_abs).otherwise(F.lit(0.0))
+
+    def residuals_of(line: Column) -> Column:
+        return F.transform(series, lambda y, i: y - (line["b"] + line["a"] * i))
+
+    line = F.struct(slope.alias("a"), intercept.alias("b"))
+    return let(let(line, residuals_of), spread_over_size)

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+from talentgrid.functions.series import let
 
 
 def norm(a: Column) -> Column:
@@ -16,8 +14,16 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length 1; an all-zero vector stays zero."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+
+    def scaled(v: Column) -> Column:
+        return let(
+            norm(v),
+            lambda length: F.transform(
+                v, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0))
+            ),
+        )
+
+    return let(a, scaled)
 
 
 def as_doubles(a: Column) -> Column:

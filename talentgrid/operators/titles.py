@@ -1,18 +1,22 @@
 """Standardizing titles by the nearest category vector.
 
 Titles arrive as vectors; any encoder that returns a vector column can be put in
-front. Category vectors (about a dozen) ride along as one scalar array, so scoring
-is a map over the titles: no join, no shuffle.
+front. The category vectors (about a dozen) are the model and travel with the task;
+scoring is one matrix product per Arrow batch of titles: no join, no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
 from talentgrid.functions.text import extract_seniority
-from talentgrid.functions.vectors import as_doubles, dot, unit
+from talentgrid.functions.vectors import unit
+
+MOST_CATEGORIES = 1000
 
 
 def category_centroids(labelled: DataFrame, label: str, vector: str) -> DataFrame:
@@ -32,37 +36,37 @@ def category_centroids(labelled: DataFrame, label: str, vector: str) -> DataFram
     )
 
 
-def _scores(vector: Column, categories: Column) -> Column:
-    """Cosine with every category: array of (score, order, category)."""
-    title = unit(as_doubles(vector))
-    return F.transform(
-        categories,
-        lambda c: F.struct(
-            dot(title, c["centroid"]).alias("score"),
-            c["at"].alias("at"),
-            c["category"].alias("category"),
-        ),
-    )
+def _category_matrix(centroids: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Category names in order and their vectors: the model, a dozen rows."""
+    rows = centroids.orderBy("category").limit(MOST_CATEGORIES + 1).collect()
+    if not 0 < len(rows) <= MOST_CATEGORIES:
+        raise ValueError(f"expected 1 to {MOST_CATEGORIES} categories")
+    return [str(r["category"]) for r in rows], np.array([r["centroid"] for r in rows], float)
 
 
-def _categories(centroids: DataFrame) -> Column:
-    """Scalar: categories in order with their unit vectors."""
-    return centroids.agg(
-        F.sort_array(F.collect_list(F.struct(F.col("category").alias("at"), "category", "centroid")))
-    ).scalar()
+def _cosines(matrix: np.ndarray):
+    """Vectorized cosine of a batch of titles with every category."""
+    units = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
+    @F.pandas_udf("array<double>")
+    def cosines(vectors: pd.Series) -> pd.Series:
+        empty = np.zeros(units.shape[1])
+        batch = np.vstack([empty if v is None else v for v in vectors]).astype(float)
+        lengths = np.linalg.norm(batch, axis=1, keepdims=True)
+        scores = (batch @ units.T) / np.maximum(lengths, 1e-300)
+        return pd.Series(list(scores))
 
-def _scored(titles: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
-    return titles.withColumn("_categories", _categories(centroids)).withColumn(
-        "_scores", _scores(F.col(vector), F.col("_categories"))
-    ).drop("_categories")
+    return cosines
 
 
 def similarity_matrix(titles: DataFrame, key: str, vector: str, centroids: DataFrame) -> DataFrame:
     """Cosine of every title with every category, long form."""
-    scored = _scored(titles, vector, centroids)
-    return scored.select(key, F.explode("_scores").alias("s")).select(
-        key, F.col("s.category").alias("category"), F.col("s.score").alias("similarity_score")
+    names, matrix = _category_matrix(centroids)
+    scored = titles.select(key, F.posexplode(_cosines(matrix)(vector)).alias("_at", "score"))
+    categories = F.array(*[F.lit(n) for n in names])
+    return scored.select(
+        key, F.element_at(categories, F.col("_at") + 1).alias("category"),
+        F.col("score").alias("similarity_score"),
     )
 
 
@@ -70,22 +74,18 @@ def nearest_category(titles: DataFrame, vector: str, centroids: DataFrame,
                      threshold: float = fv.TITLE_MATCH_THRESHOLD) -> DataFrame:
     """Add the best category ('Other' unless its score exceeds the threshold) and score.
 
-    Equal scores go to the first category in order.
+    Equal scores go to the first category in order. A missing vector scores 0.
     """
-    best = F.reduce(
-        "_scores",
-        F.element_at("_scores", 1),
-        lambda acc, s: F.when(s["score"] > acc["score"], s).otherwise(acc),
+    names, matrix = _category_matrix(centroids)
+    categories = F.array(*[F.lit(n) for n in names])
+    scored = titles.withColumn("_scores", _cosines(matrix)(vector)).withColumn(
+        "similarity_score", F.array_max("_scores")
     )
-    matched = _scored(titles, vector, centroids).withColumn("_best", best)
-    return matched.withColumns(
-        {
-            "standardized_title": F.when(
-                F.col("_best.score") > threshold, F.col("_best.category").cast("string")
-            ).otherwise(F.lit(fv.NO_ROLE)),
-            "similarity_score": F.col("_best.score"),
-        }
-    ).drop("_best", "_scores")
+    at = F.array_position("_scores", F.col("similarity_score")).cast("int")
+    role = F.when(F.col("similarity_score") > threshold, F.element_at(categories, at))
+    return scored.withColumn(
+        "standardized_title", F.coalesce(role, F.lit(fv.NO_ROLE))
+    ).drop("_scores")
 
 
 def classify_titles(jobs: DataFrame, title: str, vector: str, centroids: DataFrame,
