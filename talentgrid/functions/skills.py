@@ -27,7 +27,12 @@ def parse_skill_list(text: Column) -> Column:
 def normalize_skills(skills: Column) -> Column:
     """Lower-cased, trimmed, non-blank skills, each once."""
     cleaned = F.transform(skills, lambda x: stripped(F.lower(x)))
-    return F.array_distinct(F.filter(cleaned, lambda x: x.isNotNull() & (x != "")))
+    return F.array_except(cleaned, F.array(F.lit(""), F.lit(None).cast("string")))
+
+
+def names_any_skill(skills: Column) -> Column:
+    """Whether normalizing leaves a skill; stops at the first one."""
+    return F.exists(skills, lambda x: stripped(x) != "")
 
 
 def remove_generic_skills(skills: Column) -> Column:

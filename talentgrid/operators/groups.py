@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
@@ -18,29 +18,24 @@ def group_skill_counts(postings: DataFrame, group: str) -> DataFrame:
     )
 
 
-def join_group_totals(counts: DataFrame, group: str) -> DataFrame:
-    """Counts with the group's distinct jobs and the share of them."""
-    totals = counts.groupBy(group).agg(F.sum("_jobs").alias("total_jobs"))
-    return counts.join(totals, group).select(
+def with_group_totals(counts: DataFrame, group: str) -> DataFrame:
+    """Counts with the group's distinct jobs and the share of them.
+
+    The window runs over counted rows, at most one per (group, skill), so the
+    postings are read and exploded once.
+    """
+    total = F.sum("_jobs").over(Window.partitionBy(group))
+    return counts.withColumn("total_jobs", total).select(
         group, "skill", "mentions", "total_jobs",
         (F.col("mentions") / F.col("total_jobs") * 100).alias("prevalence"),
     )
 
 
 def skills_by_group(postings: DataFrame, group: str, top_n: int = 15) -> DataFrame:
-    """The top skills of every group with their rank.
-
-    Ranking comes before the join with the totals, so only top_n rows per group
-    leave a map task.
-    """
-    counts = group_skill_counts(postings, group)
-    ranked = top_per_group(
-        counts, [group], [F.desc("mentions"), F.asc("skill")], top_n, rank_as="rank"
-    ).drop("_jobs")
-    totals = counts.groupBy(group).agg(F.sum("_jobs").alias("total_jobs"))
-    return ranked.join(totals, group).select(
-        group, "skill", "mentions", "total_jobs",
-        (F.col("mentions") / F.col("total_jobs") * 100).alias("prevalence"), "rank",
+    """The top skills of every group with their rank; one shuffle after counting."""
+    counted = with_group_totals(group_skill_counts(postings, group), group)
+    return top_per_group(
+        counted, [group], [F.desc("mentions"), F.asc("skill")], top_n, rank_as="rank"
     )
 
 

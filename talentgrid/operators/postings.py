@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
-from talentgrid.functions.skills import normalize_skills, skill_category
+from talentgrid.functions.skills import names_any_skill, normalize_skills, skill_category
 from talentgrid.functions.text import blank_to_null
 from talentgrid.operators.keyed import require_columns
 
@@ -35,48 +35,51 @@ def prepare_postings(jobs: DataFrame) -> DataFrame:
     Jobs left without a skill are dropped. ``skills`` must be an array; parse text
     with ``functions.skills.parse_skill_list`` first. Each input row is one job.
     """
-    return fill_missing(jobs).withColumn("skills", normalize_skills(F.col("skills"))).where(
-        F.size("skills") > 0
-    )
+    named = fill_missing(jobs).where(names_any_skill(F.col("skills")))
+    return named.withColumn("skills", normalize_skills(F.col("skills")))
 
 
 def expand_skills(postings: DataFrame, *keep: str) -> DataFrame:
-    """One row per (job, skill) with the kept columns; ``leads_job`` marks one row per job."""
-    exploded = postings.select(*keep, F.posexplode("skills").alias("_at", "skill"))
-    return exploded.select(*keep, "skill", (F.col("_at") == 0).alias("leads_job"))
+    """One row per (job, skill) with the kept columns; ``leads_job`` marks one row per job.
 
+    The outer explode keeps Spark from testing for empty lists before the explode,
+    which would evaluate the skill expression twice; rows of empty lists go after it.
+    """
+    exploded = postings.select(*keep, F.posexplode_outer("skills").alias("_at", "skill"))
+    return exploded.where(F.col("skill").isNotNull()).select(
+        *keep, "skill", (F.col("_at") == 0).alias("leads_job")
+    )
 
-def expand_categories(postings: DataFrame) -> DataFrame:
-    """One row per (job, distinct skill category); skills without a category give none."""
-    mapped = F.array_distinct(F.array_compact(F.transform("skills", skill_category)))
-    exploded = postings.select(F.posexplode(mapped).alias("_at", "skill_category"))
-    return exploded.select("skill_category", (F.col("_at") == 0).alias("leads_job"))
+
+def skill_categories(skills: Column) -> Column:
+    """Distinct categories of a skill list; skills without a category give none."""
+    return F.array_distinct(F.array_compact(F.transform(skills, skill_category)))
 
 
 def jobs_seen() -> Column:
     return F.count_if("leads_job")
 
 
-def rows_for(postings: DataFrame, column: str) -> DataFrame:
-    """(value, leads_job) rows for any analysis column, null values left out."""
+def values_of(postings: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """(one row per job and distinct value, condition that a job has a value)."""
     if column == "skill":
-        return expand_skills(postings)
+        return expand_skills(postings), F.size("skills") > 0
     if column == "skill_category":
-        return expand_categories(postings)
+        mapped = postings.select(F.explode_outer(skill_categories(F.col("skills"))).alias(column))
+        has_one = F.exists("skills", lambda x: skill_category(x).isNotNull())
+        return mapped.where(F.col(column).isNotNull()), has_one
     require_columns(postings, column)
-    return postings.select(column, F.lit(True).alias("leads_job")).dropna(subset=[column])
+    return postings.where(F.col(column).isNotNull()), F.col(column).isNotNull()
 
 
 def aggregate_by(postings: DataFrame, column: str = "skill") -> DataFrame:
     """Distinct jobs per value of a column and their share of the jobs that have one.
 
-    The total is a scalar over the grouped rows, so the postings are read once.
+    The total is a scalar count of postings: no explode, one column read.
     """
-    grouped = rows_for(postings, column).groupBy(column).agg(
-        F.count(F.lit(1)).alias("mentions"), jobs_seen().alias("_jobs")
-    )
-    total = grouped.agg(F.sum("_jobs")).scalar()
-    return grouped.select(
+    rows, counted = values_of(postings, column)
+    total = postings.agg(F.count_if(counted)).scalar()
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("mentions")).select(
         column,
         "mentions",
         (F.col("mentions") / total * 100).alias("prevalence"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
-from talentgrid.operators.groups import group_skill_counts, join_group_totals
+from talentgrid.operators.groups import group_skill_counts, with_group_totals
 from talentgrid.operators.keyed import level_rank, top_per_group
 
 LEVEL = "seniority_level"
@@ -15,7 +15,7 @@ LEVEL = "seniority_level"
 def level_skills(postings: DataFrame) -> DataFrame:
     """(level, skill) counts and prevalence for the known levels."""
     known = postings.where(F.col(LEVEL).isin(*fv.SENIORITY_ORDER))
-    return join_group_totals(group_skill_counts(known, LEVEL), LEVEL)
+    return with_group_totals(group_skill_counts(known, LEVEL), LEVEL)
 
 
 def seniority_patterns(postings: DataFrame, top_n: int = 5) -> DataFrame:

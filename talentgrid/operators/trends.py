@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from talentgrid import fixed_values as fv
 from talentgrid.functions import series as S
 from talentgrid.functions.quantiles import indexed_quantiles, linear_quantiles
-from talentgrid.operators.postings import expand_skills, jobs_seen
+from talentgrid.operators.postings import expand_skills
 
 
 def monthly_totals(postings: DataFrame) -> DataFrame:
@@ -22,16 +22,16 @@ def monthly_totals(postings: DataFrame) -> DataFrame:
 
 
 def skill_month_counts(postings: DataFrame) -> DataFrame:
-    """(skill, month): jobs naming the skill, and jobs led by the row's skill."""
+    """Jobs naming the skill per (skill, month)."""
     return expand_skills(postings, "published").groupBy("skill", "published").agg(
-        F.count(F.lit(1)).alias("mentions"), jobs_seen().alias("_jobs")
+        F.count(F.lit(1)).alias("mentions")
     )
 
 
-def _calendar(counts: DataFrame) -> Column:
+def _calendar(postings: DataFrame) -> Column:
     """Scalar: the months present in order, each with its jobs."""
-    totals = counts.groupBy("published").agg(F.sum("_jobs").alias("jobs"))
-    return totals.agg(F.sort_array(F.collect_list(F.struct("published", "jobs")))).scalar()
+    months = F.sort_array(F.collect_list(F.struct("published", F.col("total_jobs").alias("jobs"))))
+    return monthly_totals(postings).agg(months).scalar()
 
 
 def skill_series(postings: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def skill_series(postings: DataFrame) -> DataFrame:
     counts = skill_month_counts(postings)
     by_month = F.map_from_entries(F.collect_list(F.struct("published", "mentions")))
     per_skill = counts.groupBy("skill").agg(by_month.alias("_by")).withColumn(
-        "_calendar", _calendar(counts)
+        "_calendar", _calendar(postings)
     )
     mentions = F.transform(
         "_calendar",

@@ -8,8 +8,6 @@ is filtered, sampled or invented beyond the tables.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,39 +71,74 @@ CONFOUNDERS = ["country", "seniority_level", "standardized_title"]
 CONTROLS = ["work_mode", "job_type"]
 
 
+# Declared, so that no job has to read file footers first.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _literal(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "\\'") + "'"
 
 
 def mapped(column: str, values: dict[str, str]) -> Column:
-    start, *rest = values.items()
-    chain = F.when(F.col(column) == start[0], F.lit(start[1]))
-    return reduce(lambda acc, kv: acc.when(F.col(column) == kv[0], F.lit(kv[1])), rest, chain)
+    whens = " ".join(f"WHEN {_literal(k)} THEN {_literal(v)}" for k, v in values.items())
+    return F.expr(f"CASE {column} {whens} END")
 
 
 def listed(values: list[str | None]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("n_nationkey") + 1)
+    return F.expr(f"array({', '.join(_literal(v) for v in values)})[n_nationkey]")
+
+
+# Skills in sorted order; a skill's place is its bit.
+_WRITTEN = sorted(SKILL_OF_TOKEN.values())
+
+
+def _bits(text: str, tokens: list[str]) -> str:
+    whens = " ".join(
+        f"WHEN {_literal(t)} THEN {1 << _WRITTEN.index(SKILL_OF_TOKEN[t])}L" for t in tokens
+    )
+    return f"CASE {text} {whens} ELSE 0L END"
 
 
 def order_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(order, distinct skills as written).
+    """(order, distinct skills as written, sorted).
 
-    Lines meet parts once; an order then collects the distinct three-skill sets of
-    its parts, at most one per kind of part, merged on the map side.
+    The words form a short fixed list, so the skills of a part are one long of bits
+    and those of an order the OR over its lines: combined on the map side, and the
+    shuffle carries one number per order.
     """
-    words = F.split("p_name", " ")
-    written = [
-        *[F.when(words[i] == token, skill)
-          for i in (0, 1) for token, skill in SKILL_OF_TOKEN.items() if token.islower()],
-        *[F.when(F.col("p_type") == token, skill)
-          for token, skill in SKILL_OF_TOKEN.items() if token.isupper()],
-    ]
-    parts = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("l_partkey"), F.array_compact(F.array(*written)).alias("named")
+    lower = [t for t in SKILL_OF_TOKEN if t.islower()]
+    upper = [t for t in SKILL_OF_TOKEN if t.isupper()]
+    bits = " | ".join(
+        [_bits("split_part(p_name, ' ', 1)", lower), _bits("split_part(p_name, ' ', 2)", lower),
+         _bits("p_type", upper)]
     )
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", f"{bits} AS bits")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    return lines.join(parts, "l_partkey").groupBy("l_orderkey").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("named")))).alias("skills")
+    merged = lines.join(parts, "l_partkey").groupBy("l_orderkey").agg(F.bit_or("bits").alias("bits"))
+    named = ", ".join(
+        f"IF(bit_get(bits, {i}) = 1, {_literal(name)}, NULL)" for i, name in enumerate(_WRITTEN)
+    )
+    return merged.selectExpr(
+        "l_orderkey", f"array_except(array({named}), array(CAST(NULL AS STRING))) AS skills"
     )
 
 

@@ -352,7 +352,7 @@ def listings_with_company(spark, sf_dir):
 @query
 def join_group_totals(spark, sf_dir):
     counts = groups.group_skill_counts(P.postings(spark, sf_dir), "country")
-    return groups.join_group_totals(counts, "country")
+    return groups.with_group_totals(counts, "country")
 
 
 @query
