@@ -569,7 +569,7 @@ check("dates_to_parts", """SELECT o_orderkey,
     CASE WHEN o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' THEN CAST(month(o_orderdate) AS INTEGER) END AS published_month
     FROM orders""")
 check("exchange_rate_rows", """
-    SELECT c_custkey, 'EUR' AS currency_code, CAST(1.0 / CAST(round(abs(c_acctbal) / 100 + 1, 2) AS DOUBLE) AS DECIMAL(12,6)) AS rate_to_usd FROM customer
+    SELECT c_custkey, 'EUR' AS currency_code, CAST(1.0 / (abs(c_acctbal) / 100 + 1) AS DECIMAL(12,6)) AS rate_to_usd FROM customer
     UNION ALL SELECT c_custkey, 'JPY', CAST(1.0 / CAST(c_nationkey + 2 AS DOUBLE) AS DECIMAL(12,6)) FROM customer
     UNION ALL SELECT c_custkey, 'USD', CAST(1 AS DECIMAL(12,6)) FROM customer""")
 
@@ -577,11 +577,12 @@ check("exchange_rate_rows", """
 
 # Exponential smoothing in closed form, alpha = 0.3.
 PARTS["smooth"] = """SELECT t.skill, t.idx, any_value(t.mentions) AS mentions,
+    any_value(t.prevalence) AS prevalence,
     sum(CASE WHEN j.idx = 0 THEN pow(0.7, t.idx) ELSE 0.3 * pow(0.7, t.idx - j.idx) END * j.mentions) AS sm,
     sum(CASE WHEN j.idx = 0 THEN pow(0.7, t.idx) ELSE 0.3 * pow(0.7, t.idx - j.idx) END * j.prevalence) AS sp
     FROM matrix t JOIN matrix j ON j.skill = t.skill AND j.idx <= t.idx GROUP BY t.skill, t.idx"""
-check("ewma", """SELECT skill, CAST(idx AS INTEGER) AS month_idx, CAST(mentions AS DOUBLE) AS value,
-    sm AS smoothed FROM smooth""", "value smoothed")
+check("ewma", """SELECT skill, CAST(idx AS INTEGER) AS month_idx, prevalence AS value,
+    sp AS smoothed FROM smooth""", "value smoothed")
 
 
 def growth(column: str) -> str:

@@ -838,7 +838,7 @@ def exchange_rate_rows(spark, sf_dir):
     customers = P.table(spark, sf_dir, "customer")
     doc = F.to_json(
         F.struct(
-            F.round(F.abs("c_acctbal") / 100 + 1, 2).alias("EUR"),
+            (F.abs("c_acctbal") / 100 + 1).alias("EUR"),
             (F.col("c_nationkey") + 2).alias("JPY"), F.lit(7.5).alias("USD"),
         )
     )
@@ -851,7 +851,7 @@ def exchange_rate_rows(spark, sf_dir):
 
 @query
 def ewma(spark, sf_dir):
-    return trends.smoothed(settled_series(P.postings(spark, sf_dir)), "mentions")
+    return trends.smoothed(settled_series(P.postings(spark, sf_dir)), "prevalence")
 
 
 @query

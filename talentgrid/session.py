@@ -49,8 +49,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that several later steps read, and read it back.
 
-    Used for results far smaller than their input (one row per skill): the large
-    input is scanned once, and a lost executor costs nothing already written.
+    Used where recomputing costs more than storing: the input is scanned and parsed
+    once, and a lost executor costs nothing already written.
     """
     folder = shared_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
