@@ -160,12 +160,14 @@ def skill_residual_model(fitted: DataFrame, controls: Sequence[str] = (), min_sa
                          learner: str = "linear") -> DataFrame:
     """Residual explained by skills and controls: add ``skill_prediction``.
 
-    Skills become a sparse 0/1 vector. ``linear`` scales to any number of skills;
-    ``boosted`` grows trees over the same vector.
+    Skills become a sparse 0/1 vector sized to hold every skill with enough jobs.
+    ``linear`` scales to any number of skills; ``boosted`` grows trees over the same
+    vector.
     """
     filled = fill_unknown(fitted, controls)
     skills = CountVectorizer(
-        inputCol="skills", outputCol="_skills", binary=True, minDF=float(min_samples)
+        inputCol="skills", outputCol="_skills", binary=True, minDF=float(min_samples),
+        vocabSize=max(1, valid_skills(filled, min_samples).count()),
     )
     data = skills.fit(filled).transform(filled)
     parts = ["_skills"]

@@ -1192,7 +1192,7 @@ def stream_batch_upsert(spark, sf_dir):
     source, folder = shared_folder(spark, "event-files"), shared_folder(spark, "event-table")
     events = P.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     events.repartition(6, "event_id").write.parquet(source)
-    events.limit(0).write.parquet(folder)
+    spark.createDataFrame([], events.schema).write.parquet(folder)
     feed = feeds.read_feed(spark, source, events.schema, files_per_batch=2)
     feeds.insert_batches(
         feed, folder, f"{folder}-state", ["user_id", "event_type"],

@@ -33,8 +33,8 @@ def payload_entries(pages: DataFrame, json: str, order: str) -> DataFrame:
 
 def _holds_anything(df: DataFrame, struct: str) -> Column:
     """False for a null or empty object."""
-    fields = df.schema[struct].dataType.fieldNames()
-    return F.coalesce(*[F.col(struct)[name].cast("string") for name in fields]).isNotNull()
+    empty = F.from_json(F.lit("{}"), df.schema[struct].dataType)
+    return F.col(struct).isNotNull() & ~F.col(struct).eqNullSafe(empty)
 
 
 def employment_types(kind: Column, types: Column) -> Column:
