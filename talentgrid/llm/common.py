@@ -21,11 +21,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows of few, large input files dealt over the cluster by a hash of all rows' keys."""
-    return df.repartition(partitions(df.sparkSession), *columns)
-
-
 def running_positions(df: DataFrame, order: list[str], weight: str | None, name: str) -> DataFrame:
     """Adds the sum of ``weight`` (1 if None) over all earlier rows in ``order``.
 

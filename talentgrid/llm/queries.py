@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import chat, quality, sharding, token_counts, tokens
+from talentgrid.llm import chat, neardup, packing, quality, sharding, token_counts, tokens
 from talentgrid.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,13 @@ def op10_chat_format(spark, sf_dir):
     )
     turns = chat.canonical_turns(records, "conv_id", "json")
     return chat.conversation_digests(chat.format_turns(turns, "conv_id"), "conv_id")
+
+
+@query
+def op5_curve_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), tokens.tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op6_minmax_neardup(spark, sf_dir):
+    return neardup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
