@@ -8,7 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import chat, neardup, packing, quality, sharding, token_counts, tokens
+from talentgrid.llm import (
+    chat, fingerprints, languages, neardup, packing, quality, sharding, token_counts, tokens,
+)
 from talentgrid.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +85,17 @@ def op5_curve_packing(spark, sf_dir):
 @query
 def op6_minmax_neardup(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
+@query
+def op1_simhash(spark, sf_dir):
+    signed = fingerprints.fingerprint_documents(documents(spark, sf_dir))
+    return fingerprints.with_near_counts(signed).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", "n_near",
+    )
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    return languages.identify(documents(spark, sf_dir))
