@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.llm import (
-    chat, fingerprints, languages, neardup, packing, quality, sharding, token_counts, tokens,
+    chat, fingerprints, languages, mixing, neardup, packing, pii, quality, sharding, token_counts,
+    tokens,
 )
 from talentgrid.session import shared_folder
 
@@ -17,13 +18,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
 LLM_ORACLE: dict[str, str] = {}
 
+#: For the given tables only; a real run passes a secret of its own.
+PII_KEY = b"given tables"
+
 #: Python workers find this package where the driver has it.
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+
+
 def query(build: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+        workers_find_package(spark)
         return build(spark, sf_dir)
 
     run.__name__, run.__doc__ = build.__name__, build.__doc__
@@ -99,3 +107,14 @@ def op1_simhash(spark, sf_dir):
 @query
 def op3_language_id(spark, sf_dir):
     return languages.identify(documents(spark, sf_dir))
+
+
+@query
+def op7_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
+@query
+def op9_pseudonyms(spark, sf_dir):
+    done = pii.pseudonymize_documents(documents(spark, sf_dir), PII_KEY)
+    return done.select("doc_id", "text", F.size("spans").alias("n_found"), "spans")
