@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,18 @@ def month_start(month: Column) -> Column:
 
 
 def month_between(month: Column, start, end) -> Column:
-    """First day of the month inside [start, end], both ends included."""
-    return month_start(month).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    """First day of the month inside [start, end], both ends included.
+
+    Month keys sort like their months, so the bounds become keys and the comparison is
+    one of plain text, which a scan can use.
+    """
+    first, last = (
+        x if isinstance(x, datetime.date) else datetime.date.fromisoformat(str(x)[:10])
+        for x in (start, end)
+    )
+    if first.day > 1:
+        first = (first.replace(day=1) + datetime.timedelta(days=32)).replace(day=1)
+    return month.between(f"{first.year:04}_{first.month:02}", f"{last.year:04}_{last.month:02}")
 
 
 def parse_moment(text: Column) -> Column:

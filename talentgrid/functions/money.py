@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talentgrid import fixed_values as fv
 
 _RATE_TYPE = "decimal(12,7)"
+ANNUAL_TYPE = "decimal(24,2)"
 
 
 def usd_rates(spark) -> DataFrame:
@@ -41,8 +42,8 @@ def _annual(amount: Column) -> Column:
     yearly = amount.cast("decimal(14,0)") * periods_per_year(F.col("salary_period")).cast(
         "decimal(4,0)"
     )
-    # An amount beyond 14 digits becomes null instead of failing the whole job.
-    return (yearly * F.col("usd_rate")).try_cast("decimal(14,2)")
+    # Wide enough for any int amount, period and rate of the table type.
+    return (yearly * F.col("usd_rate")).cast(ANNUAL_TYPE)
 
 
 def annual_usd_salaries(df: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def annual_usd_salaries(df: DataFrame) -> DataFrame:
         }
     )
     low, high = F.col("salary_min_annual_usd"), F.col("salary_max_annual_usd")
-    middle = ((low + high) / F.lit(2).cast("decimal(1,0)")).cast("decimal(14,2)")
+    middle = ((low + high) / F.lit(2).cast("decimal(1,0)")).cast(ANNUAL_TYPE)
     return bounds.withColumn("salary_annual_usd", F.coalesce(middle, low, high)).drop("usd_rate")
 
 

@@ -1,104 +1,53 @@
-"""Exact order statistics of a column of any length."""
+"""Exact quantiles of a column."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ACCURACY = 10_000
 
+def linear_quantiles(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
+    """One row of linearly interpolated quantiles: position q * (n - 1)."""
+    cuts = F.array(*[F.lit(q) for q in fractions.values()])
+    found = df.agg(F.percentile(value, cuts).alias("_q"))
+    return found.select(*[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(fractions)])
 
-def order_statistics(
-    df: DataFrame, value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]
-) -> DataFrame:
-    """One row: the sorted value at each 0-based index, exact.
 
-    ``wanted`` maps a name to (fraction, index of row count n); the index must lie
-    within one of fraction * n. Equal values are folded first. A quantile sketch
-    brackets each index within a few ten-thousandths of n; everything below the
-    bracket is only counted, and the few values inside it decide. Up to 10,000
-    rows the bracket is the whole column.
+def _nth_quantiles(df: DataFrame, value: str, fractions: dict[str, float], of) -> DataFrame:
+    """Sorted values at the 0-based index that ``of`` gives for a fraction and n.
+
+    Equal values are counted together first; as with ``percentile``, what meets in one
+    place is one entry per different value.
     """
-    folded = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    sketch = df.agg(
-        F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
-        *[
-            F.percentile_approx(value, [max(q - 3 / _ACCURACY, 0.0), min(q + 4 / _ACCURACY, 1.0)],
-                                _ACCURACY).alias(f"near_{name}")
-            for name, (q, _) in wanted.items()
-        ],
+    folded = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
+        F.count(F.lit(1)).alias("c")
     )
-    row = sketch.agg(F.first(F.struct(*sketch.columns))).scalar()
-    placed = folded.withColumn("_b", row)
-    n = F.col("_b")["n"]
+    listed = folded.agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("values"))
+    n = F.aggregate("values", F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
 
-    def bracket(name: str, q: float) -> tuple[Column, Column]:
-        small = n <= _ACCURACY
-        low = F.when(small | F.lit(q - 3 / _ACCURACY <= 0), F.col("_b")["lo"]).otherwise(
-            F.col("_b")[f"near_{name}"][0]
-        )
-        high = F.when(small | F.lit(q + 4 / _ACCURACY >= 1), F.col("_b")["hi"]).otherwise(
-            F.col("_b")[f"near_{name}"][1]
-        )
-        return low, high
-
-    parts = []
-    for name, (q, _) in wanted.items():
-        low, high = bracket(name, q)
-        inside = F.col("_v").between(low, high)
-        parts += [
-            F.sum(F.when(F.col("_v") < low, F.col("_c")).otherwise(0)).alias(f"below_{name}"),
-            F.sort_array(
-                F.collect_list(F.when(inside, F.struct("_v", "_c")))
-            ).alias(f"inside_{name}"),
-        ]
-    gathered = placed.agg(F.max("_b.n").alias("n"), *parts)
-
-    def pick(name: str, index: Column) -> Column:
+    def nth(index: Column) -> Column:
         start = F.struct(
-            F.col(f"below_{name}").alias("seen"), F.lit(None).cast("double").alias("found")
+            F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("found")
         )
-        walk = F.aggregate(
-            f"inside_{name}",
-            start,
-            lambda acc, x: F.struct(
-                (acc["seen"] + x["_c"]).alias("seen"),
-                F.coalesce(
-                    acc["found"], F.when(acc["seen"] + x["_c"] > index, x["_v"])
-                ).alias("found"),
+        return F.aggregate(
+            "values", start,
+            lambda s, x: F.struct(
+                (s["seen"] + x["c"]).alias("seen"),
+                F.coalesce(s["found"], F.when(s["seen"] + x["c"] > index, x["v"])).alias("found"),
             ),
-        )
-        return walk["found"]
+        )["found"]
 
-    return gathered.select(
-        *[pick(name, index(F.col("n"))).alias(name) for name, (_, index) in wanted.items()]
-    )
+    counted = listed.withColumn("n", n)
+    return counted.select(*[nth(of(q, F.col("n"))).alias(name) for name, q in fractions.items()])
 
 
-def linear_quantiles(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
-    """One row of linearly interpolated quantiles: position q * (n - 1)."""
-    wanted: dict[str, tuple[float, Callable[[Column], Column]]] = {}
-    for name, q in fractions.items():
-        wanted[f"{name}_low"] = (q, lambda n, q=q: F.floor(F.lit(q) * (n - 1)))
-        wanted[f"{name}_high"] = (q, lambda n, q=q: F.ceil(F.lit(q) * (n - 1)))
-    ends = order_statistics(df, value, wanted).withColumn(
-        "_n", df.agg(F.count(value)).scalar()
+def indexed_quantiles(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
+    """One row of plain order statistics: sorted[int(q * n)]."""
+    return _nth_quantiles(
+        df, value, fractions, lambda q, n: F.least(F.floor(F.lit(q) * n), n - 1)
     )
 
-    def between(name: str, q: float) -> Column:
-        position = F.lit(q) * (F.col("_n") - 1)
-        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        return low + (high - low) * (position - F.floor(position))
 
-    return ends.select(*[between(name, q).alias(name) for name, q in fractions.items()])
-
-
-def indexed_quantiles(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
-    """One row of plain order statistics: sorted[int(q * n)]."""
-    wanted = {
-        name: (q, lambda n, q=q: F.least(F.floor(F.lit(q) * n), n - 1))
-        for name, q in fractions.items()
-    }
-    return order_statistics(df, value, wanted)
+def lower_quantiles(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
+    """One row of order statistics from below: sorted[int(q * (n - 1))]."""
+    return _nth_quantiles(df, value, fractions, lambda q, n: F.floor(F.lit(q) * (n - 1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
@@ -21,21 +21,30 @@ def group_skill_counts(postings: DataFrame, group: str) -> DataFrame:
 def with_group_totals(counts: DataFrame, group: str) -> DataFrame:
     """Counts with the group's distinct jobs and the share of them.
 
-    The window runs over counted rows, at most one per (group, skill), so the
-    postings are read and exploded once.
+    Totals are summed on the map side and joined back, so a group with very many skills
+    never meets in one task.
     """
-    total = F.sum("_jobs").over(Window.partitionBy(group))
-    return counts.withColumn("total_jobs", total).select(
+    totals = counts.groupBy(group).agg(F.sum("_jobs").alias("total_jobs"))
+    return counts.join(totals, group).select(
         group, "skill", "mentions", "total_jobs",
         (F.col("mentions") / F.col("total_jobs") * 100).alias("prevalence"),
     )
 
 
 def skills_by_group(postings: DataFrame, group: str, top_n: int = 15) -> DataFrame:
-    """The top skills of every group with their rank; one shuffle after counting."""
-    counted = with_group_totals(group_skill_counts(postings, group), group)
-    return top_per_group(
-        counted, [group], [F.desc("mentions"), F.asc("skill")], top_n, rank_as="rank"
+    """The top skills of every group with their rank.
+
+    The leading rows are found on the counts alone, which keeps ``top_n`` rows of a
+    group before the shuffle; only those meet the totals.
+    """
+    counts = group_skill_counts(postings, group)
+    totals = counts.groupBy(group).agg(F.sum("_jobs").alias("total_jobs"))
+    top = top_per_group(
+        counts, [group], [F.desc("mentions"), F.asc("skill")], top_n, rank_as="rank"
+    )
+    return top.join(totals, group).select(
+        group, "skill", "mentions", "total_jobs",
+        (F.col("mentions") / F.col("total_jobs") * 100).alias("prevalence"), "rank",
     )
 
 

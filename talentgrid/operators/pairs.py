@@ -7,12 +7,12 @@ postings, and nothing larger than the row is held.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentgrid.functions.series import let
 from talentgrid.functions.skills import pair_domain_label
-from talentgrid.operators.postings import skill_frequency
+from talentgrid.operators.postings import expand_skills, skill_frequency
 
 
 def pair_rows(postings: DataFrame, *keep: str) -> DataFrame:
@@ -23,9 +23,11 @@ def pair_rows(postings: DataFrame, *keep: str) -> DataFrame:
     return firsts.select(*keep, "skill_1", F.explode(rest).alias("skill_2"))
 
 
-def pair_counts(postings: DataFrame, fewest: int = 2, most: int = 20) -> DataFrame:
-    """Jobs naming both skills, over jobs with ``fewest``..``most`` skills."""
-    sized = postings.where(F.size("skills").between(fewest, most))
+def pair_counts(postings: DataFrame, fewest: int = 2, most: int | None = None) -> DataFrame:
+    """Jobs naming both skills; a job has ``fewest`` skills or more, and ``most`` if given."""
+    sized = postings.where(F.size("skills") >= fewest)
+    if most is not None:
+        sized = sized.where(F.size("skills") <= most)
     return pair_rows(sized).groupBy("skill_1", "skill_2").agg(
         F.count(F.lit(1)).alias("mentions")
     )
@@ -50,31 +52,23 @@ def skill_pairs(postings: DataFrame, min_mentions: int = 10, top_n: int = 20) ->
 def job_set_overlap(postings: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each given pair: jobs with both skills, with either, and their ratio.
 
-    ``pairs`` is a report (a few dozen rows from ``skill_pairs``): it travels as one
-    scalar array, and each posting counts only the listed pairs it touches.
+    Both come from counts: the pair's own, and those of its two skills, of which
+    either = first + second - both. No posting is compared with the list of pairs.
     """
-    listed = pairs.agg(F.collect_list(F.struct("skill_1", "skill_2"))).scalar()
-    touched = postings.select("skills", listed.alias("_pairs")).select(
-        F.explode(
-            F.filter(
-                F.transform(
-                    "_pairs",
-                    lambda p: F.struct(
-                        p["skill_1"].alias("skill_1"),
-                        p["skill_2"].alias("skill_2"),
-                        F.array_contains("skills", p["skill_1"]).alias("has_1"),
-                        F.array_contains("skills", p["skill_2"]).alias("has_2"),
-                    ),
-                ),
-                lambda p: p["has_1"] | p["has_2"],
-            )
-        ).alias("p")
-    )
-    counted = touched.groupBy("p.skill_1", "p.skill_2").agg(
-        F.count_if(F.col("p.has_1") & F.col("p.has_2")).alias("jobs_with_both"),
-        F.count(F.lit(1)).alias("jobs_with_either"),
-    )
-    return counted.withColumn(
+    wanted = pairs.select(
+        F.least("skill_1", "skill_2").alias("skill_1"),
+        F.greatest("skill_1", "skill_2").alias("skill_2"),
+    ).distinct()
+    both = pair_counts(postings).withColumnRenamed("mentions", "jobs_with_both")
+    named = expand_skills(postings).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    counted = wanted.join(both, ["skill_1", "skill_2"], "left")
+    for side in ("skill_1", "skill_2"):
+        counted = counted.join(named.toDF(side, f"_{side}"), side, "left")
+    with_both = F.coalesce("jobs_with_both", F.lit(0).cast("bigint"))
+    either = F.coalesce("_skill_1", F.lit(0)) + F.coalesce("_skill_2", F.lit(0)) - with_both
+    return counted.select(
+        "skill_1", "skill_2", with_both.alias("jobs_with_both"), either.alias("jobs_with_either")
+    ).where(F.col("jobs_with_either") > 0).withColumn(
         "co_occurrence_rate", F.col("jobs_with_both") / F.col("jobs_with_either")
     )
 
@@ -118,40 +112,47 @@ def union_of_pair_skills(pairs: DataFrame) -> DataFrame:
     )
 
 
-_CLUSTER_SCHEMA = (
-    "cluster string, core_skill string, skills array<string>, avg_co_occurrence double, size int"
-)
-
-
-def _greedy_clusters(edges: pd.DataFrame) -> pd.DataFrame:
-    """Each unused skill in rank order takes up to four unused partners, largest first."""
-    names = edges[edges["skill_2"].isna()].sort_values("rank")["skill_1"].tolist()
-    partners: dict[str, list[tuple[int, str]]] = {name: [] for name in names}
-    for row in edges[edges["skill_2"].notna()].itertuples():
-        partners[row.skill_1].append((int(row.together), row.skill_2))
-        partners[row.skill_2].append((int(row.together), row.skill_1))
-    used: set[str] = set()
-    found = []
-    for name in names:
-        if name in used:
-            continue
-        free = [p for p in partners[name] if p[1] not in used]
-        chosen = sorted(free, key=lambda p: (-p[0], p[1]))[:4]
-        if not chosen:
-            continue
-        members = [name] + [partner for _, partner in chosen]
-        used.update(members)
-        average = sum(count for count, _ in chosen) / len(chosen)
-        found.append((f"Cluster_{len(found) + 1}", name, members, average, len(members)))
-    columns = ["cluster", "core_skill", "skills", "avg_co_occurrence", "size"]
-    return pd.DataFrame(found, columns=columns)
+_CLUSTER = "struct<core_skill:string,skills:array<string>,avg_co_occurrence:double>"
+
+
+def _grown(state: Column, name: Column, edges: Column) -> Column:
+    """The clusters after one more skill: with its free partners, unless it is taken.
+
+    Partners are the free skills named together with it most, ties by name.
+    """
+    touching = F.filter(edges, lambda e: (e["skill_1"] == name) | (e["skill_2"] == name))
+    partners = F.transform(
+        touching,
+        lambda e: F.struct(
+            (-e["together"]).alias("less"),
+            F.when(e["skill_1"] == name, e["skill_2"]).otherwise(e["skill_1"]).alias("skill"),
+        ),
+    )
+    free = F.filter(partners, lambda p: ~F.array_contains(state["used"], p["skill"]))
+
+    def taken(chosen: Column) -> Column:
+        members = F.concat(F.array(name), F.transform(chosen, lambda c: c["skill"]))
+        total = F.aggregate(chosen, F.lit(0).cast("bigint"), lambda s, c: s - c["less"])
+        cluster = F.struct(
+            name.alias("core_skill"), members.alias("skills"),
+            (total.cast("double") / F.size(chosen)).alias("avg_co_occurrence"),
+        )
+        grown = F.struct(
+            F.concat(state["used"], members).alias("used"),
+            F.concat(state["found"], F.array(cluster)).alias("found"),
+        )
+        keeps = F.array_contains(state["used"], name) | (F.size(chosen) == 0)
+        return F.when(keeps, state).otherwise(grown)
+
+    return let(F.slice(F.sort_array(free), 1, 4), taken)
 
 
 def skill_clusters(postings: DataFrame, top_skills: int = 30, least: int = 10) -> DataFrame:
     """Greedy clusters among the most frequent skills.
 
-    Co-counts are made by Spark over all postings, each cut to the top skills. The
-    greedy step is sequential by nature and gets at most top_skills^2/2 edges.
+    Co-counts are made over all postings, each cut to the top skills. In rank order each
+    unused skill takes up to four unused partners; the fold runs in one expression over
+    at most top_skills^2 / 2 edges, whatever the number of postings.
     """
     top = skill_frequency(postings, top_skills)
     names = top.agg(F.collect_list("skill")).scalar()
@@ -161,19 +162,18 @@ def skill_clusters(postings: DataFrame, top_skills: int = 30, least: int = 10) -
     together = pair_rows(cut).groupBy("skill_1", "skill_2").agg(
         F.count(F.lit(1)).alias("together")
     )
-    edges = together.where(F.col("together") >= least).select(
-        "skill_1", "skill_2", "together", F.lit(None).cast("bigint").alias("rank")
+    edges = together.where(F.col("together") >= least).agg(
+        F.collect_list(F.struct("skill_1", "skill_2", "together"))
     )
     ranked = top.agg(
         F.sort_array(F.collect_list(F.struct((-F.col("mentions")).alias("m"), "skill"))).alias("t")
-    ).select(F.posexplode("t").alias("rank", "t"))
-    nodes = ranked.select(
-        F.col("t.skill").alias("skill_1"), F.lit(None).cast("string").alias("skill_2"),
-        F.lit(None).cast("bigint").alias("together"), F.col("rank").cast("bigint"),
+    ).withColumn("edges", edges.scalar())
+    start = F.struct(
+        F.array().cast("array<string>").alias("used"),
+        F.array().cast(f"array<{_CLUSTER}>").alias("found"),
     )
-    return (
-        nodes.unionByName(edges)
-        .withColumn("graph", F.lit(1))
-        .groupBy("graph")
-        .applyInPandas(_greedy_clusters, _CLUSTER_SCHEMA)
+    found = F.aggregate("t", start, lambda s, t: _grown(s, t["skill"], F.col("edges")))["found"]
+    return ranked.select(F.posexplode(found).alias("at", "c")).select(
+        F.concat(F.lit("Cluster_"), F.col("at") + 1).alias("cluster"), "c.core_skill", "c.skills",
+        "c.avg_co_occurrence", F.size("c.skills").alias("size"),
     )

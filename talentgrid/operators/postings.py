@@ -137,22 +137,13 @@ def skill_pivot(postings: DataFrame) -> DataFrame:
     )
 
 
-def pivot_job_ids(postings: DataFrame, chunk_size: int = 10_000) -> DataFrame:
-    """The job ids behind every pivot cell, in chunks of about ``chunk_size`` ids.
+def pivot_job_ids(postings: DataFrame) -> DataFrame:
+    """The job ids behind every pivot cell, one row per (cell, job).
 
-    A cell may stand for a third of all jobs, so its ids are never one array: cells
-    above the chunk size are cut into numbered chunks by a hash of the id.
+    A cell may stand for a third of all jobs, so its ids are rows, never one array.
     """
     require_columns(postings, "job_id")
-    cell = [*DIMENSIONS, "skill"]
-    large = skill_cells(postings).where(F.col("mentions") > chunk_size).select(
-        *cell, F.ceil(F.col("mentions") / chunk_size).alias("_chunks")
-    )
-    rows = expand_skills(postings, "job_id", *DIMENSIONS).join(large, cell, "left")
-    chunk = F.pmod(F.xxhash64("job_id"), F.coalesce("_chunks", F.lit(1).cast("long")))
-    return rows.withColumn("chunk", chunk).groupBy(*cell, "chunk").agg(
-        F.sort_array(F.collect_list("job_id")).alias("job_ids")
-    )
+    return expand_skills(postings, "job_id", *DIMENSIONS).select(*DIMENSIONS, "skill", "job_id")
 
 
 def distinct_skill_rows(rows: DataFrame) -> DataFrame:

@@ -57,13 +57,17 @@ def job_skill_rows(postings: DataFrame, min_samples: int = 5,
     return rows.drop("leads_job").join(valid_skills(postings, min_samples).select("skill"), "skill")
 
 
-def job_skill_matrix(postings: DataFrame, skills: Sequence[str],
-                     controls: Sequence[str] = ()) -> DataFrame:
-    """The incidence matrix in wide form for the named skills: one 0/1 column each.
+def job_skill_matrix(postings: DataFrame, skills: Sequence[str] | None = None,
+                     controls: Sequence[str] = (), min_samples: int = 5) -> DataFrame:
+    """The incidence matrix in wide form: one 0/1 column for each skill.
 
-    A posting already holds its skills, so each column is a lookup in the row.
+    Without a list the skills of at least ``min_samples`` jobs are looked up first: they
+    are the result's columns, so their names must be known. A posting already holds its
+    skills, so each column is a lookup in the row.
     """
     filled = fill_unknown(postings, controls)
+    if skills is None:
+        skills = sorted(r["skill"] for r in valid_skills(postings, min_samples).collect())
     return filled.select(
         "job_id",
         *[F.array_contains("skills", s).cast("int").alias(s) for s in skills],

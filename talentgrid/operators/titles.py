@@ -1,12 +1,13 @@
 """Standardizing titles by the nearest category vector.
 
 Titles arrive as vectors; any encoder that returns a vector column can be put in
-front. The category vectors (about a dozen) are the model and travel with the task;
-scoring is one matrix product per Arrow batch of titles: no join, no shuffle.
+front. The category vectors are the model and travel with the task; scoring is one matrix product per Arrow batch of titles: no join, no shuffle.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,8 +17,6 @@ from talentgrid import fixed_values as fv
 from talentgrid.functions.text import extract_seniority
 from talentgrid.functions.vectors import unit
 
-MOST_CATEGORIES = 1000
-
 
 def category_centroids(labelled: DataFrame, label: str, vector: str) -> DataFrame:
     """One unit vector per category: the mean of its members, scaled to length 1.
@@ -36,12 +35,25 @@ def category_centroids(labelled: DataFrame, label: str, vector: str) -> DataFram
     )
 
 
-def _category_matrix(centroids: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Category names in order and their vectors: the model, a dozen rows."""
-    rows = centroids.orderBy("category").limit(MOST_CATEGORIES + 1).collect()
-    if not 0 < len(rows) <= MOST_CATEGORIES:
-        raise ValueError(f"expected 1 to {MOST_CATEGORIES} categories")
-    return [str(r["category"]) for r in rows], np.array([r["centroid"] for r in rows], float)
+@dataclass(frozen=True)
+class CategoryModel:
+    """Category names, sorted, and the vector of each: what titles are compared with."""
+
+    names: tuple[str, ...]
+    vectors: np.ndarray
+
+
+def category_model(centroids: DataFrame) -> CategoryModel:
+    """The model of a centroid table: fetched once, when it is trained, not per query.
+
+    Its size is that of the category list, which the caller decides.
+    """
+    rows = sorted(centroids.select("category", "centroid").collect(), key=lambda r: str(r[0]))
+    if not rows:
+        raise ValueError("a model needs a category at least")
+    return CategoryModel(
+        tuple(str(r["category"]) for r in rows), np.array([r["centroid"] for r in rows], float)
+    )
 
 
 def _cosines(matrix: np.ndarray):
@@ -59,26 +71,27 @@ def _cosines(matrix: np.ndarray):
     return cosines
 
 
-def similarity_matrix(titles: DataFrame, key: str, vector: str, centroids: DataFrame) -> DataFrame:
-    """Cosine of every title with every category, long form."""
-    names, matrix = _category_matrix(centroids)
-    scored = titles.select(key, F.posexplode(_cosines(matrix)(vector)).alias("_at", "score"))
-    categories = F.array(*[F.lit(n) for n in names])
+def similarity_matrix(titles: DataFrame, key: str, vector: str, model: CategoryModel) -> DataFrame:
+    """Cosine of every title with every category, long form.
+
+    All pairs are the result asked for: a row per title and category of the fixed list.
+    """
+    scored = titles.select(key, F.posexplode(_cosines(model.vectors)(vector)).alias("_at", "score"))
+    categories = F.lit(list(model.names))
     return scored.select(
         key, F.element_at(categories, F.col("_at") + 1).alias("category"),
         F.col("score").alias("similarity_score"),
     )
 
 
-def nearest_category(titles: DataFrame, vector: str, centroids: DataFrame,
+def nearest_category(titles: DataFrame, vector: str, model: CategoryModel,
                      threshold: float = fv.TITLE_MATCH_THRESHOLD) -> DataFrame:
     """Add the best category ('Other' unless its score exceeds the threshold) and score.
 
     Equal scores go to the first category in order. A missing vector scores 0.
     """
-    names, matrix = _category_matrix(centroids)
-    categories = F.array(*[F.lit(n) for n in names])
-    scored = titles.withColumn("_scores", _cosines(matrix)(vector)).withColumn(
+    categories = F.lit(list(model.names))
+    scored = titles.withColumn("_scores", _cosines(model.vectors)(vector)).withColumn(
         "similarity_score", F.array_max("_scores")
     )
     at = F.array_position("_scores", F.col("similarity_score")).cast("int")
@@ -88,9 +101,9 @@ def nearest_category(titles: DataFrame, vector: str, centroids: DataFrame,
     ).drop("_scores")
 
 
-def classify_titles(jobs: DataFrame, title: str, vector: str, centroids: DataFrame,
+def classify_titles(jobs: DataFrame, title: str, vector: str, model: CategoryModel,
                     threshold: float = fv.TITLE_MATCH_THRESHOLD) -> DataFrame:
     """Role, seniority and score of every job title."""
-    return nearest_category(jobs, vector, centroids, threshold).withColumn(
+    return nearest_category(jobs, vector, model, threshold).withColumn(
         "seniority_level", extract_seniority(F.col(title))
     )

@@ -41,17 +41,17 @@ def first_match(text: str, rules, pattern=r"(?i)\b(?:{})\b") -> str:
 def with_parts(sql: str) -> str:
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, own: str = "") -> None:
         for name in PARTS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(PARTS[name])
+            if name not in (own, *needed) and re.search(rf"\b{name}\b", text):
+                visit(PARTS[name], name)
                 if name not in needed:
                     needed.append(name)
 
     visit(sql)
     if not needed:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in needed) + "\n" + sql
+    return ("WITH RECURSIVE " if "cluster_walk" in needed else "WITH ") + ",\n".join(f"{n} AS ({PARTS[n]})" for n in needed) + "\n" + sql
 
 
 def check(name: str, sql: str, doubles: str | list[str] = "") -> None:
@@ -73,11 +73,11 @@ PARTS["usd"] = "SELECT currency, CAST(rate AS DECIMAL(12,7)) AS rate FROM {} t(c
     values_table(fv.USD_PER_UNIT.items())
 )
 PARTS["named_lines"] = """
-    SELECT l_orderkey, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS token
+    SELECT l_orderkey, unnest(list_append(string_split(p_name, ' '), p_type)) AS token
     FROM lineitem JOIN part ON l_partkey = p_partkey"""
 PARTS["ordered_skills"] = """
-    SELECT l_orderkey AS sk_order, list_sort(list(DISTINCT skill)) AS raw_skills
-    FROM named_lines JOIN token_skill USING (token) GROUP BY 1"""
+    SELECT l_orderkey AS sk_order, list_sort(list(DISTINCT coalesce(skill, token))) AS raw_skills
+    FROM named_lines LEFT JOIN token_skill USING (token) WHERE token IS NOT NULL GROUP BY 1"""
 
 _LOW = "CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(floor(o_totalprice / 10) AS INTEGER) END"
 _HIGH = """CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN CAST(CASE WHEN o_orderstatus = 'P'
@@ -136,7 +136,7 @@ _DIMS = ("published, country, company_name, job_type, work_mode, standardized_ti
 # Sources and sinks -----------------------------------------------------------------
 
 check("scan_csv_postings", """SELECT job_id AS job_slug, standardized_title AS title,
-    '[''' || array_to_string(skills, ''', ''') || ''']' AS skills, country, published, company_name,
+    CAST(to_json(skills) AS VARCHAR) AS skills, country, published, company_name,
     salary_min, salary_max, job_type, work_mode, standardized_title, seniority_level
     FROM analysis_jobs""")
 check("scan_parquet_pivot", f"""SELECT skill, count(*) AS cells, CAST(sum(m) AS BIGINT) AS mentions
@@ -275,7 +275,7 @@ check("anti_processed", """SELECT DISTINCT o_custkey AS slug FROM orders
     EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal >= 0""")
 PARTS["all_pairs"] = """SELECT a.job_id, a.skill AS skill_1, b.skill AS skill_2 FROM skill_rows a
     JOIN skill_rows b ON a.job_id = b.job_id AND a.skill < b.skill"""
-PARTS["sized_jobs"] = "SELECT job_id FROM postings WHERE len(skills) BETWEEN 2 AND 20"
+PARTS["sized_jobs"] = "SELECT job_id FROM postings WHERE len(skills) >= 2"
 PARTS["pair_n"] = """SELECT skill_1, skill_2, count(*) AS mentions FROM all_pairs
     JOIN sized_jobs USING (job_id) GROUP BY ALL"""
 check("skill_pair_selfjoin", "SELECT * FROM pair_n")
@@ -286,8 +286,7 @@ check("currency_lookup", """SELECT salary_currency, CAST(coalesce(rate, 1) AS DE
 
 # Aggregations ----------------------------------------------------------------------
 
-check("skill_pivot_job_ids", f"""SELECT {_DIMS}, skill, CAST(0 AS BIGINT) AS chunk,
-    array_to_string(list_sort(list(job_id)), '|') AS job_ids FROM skill_rows GROUP BY ALL""")
+check("skill_pivot_job_ids", f"SELECT {_DIMS}, skill, job_id FROM skill_rows")
 
 
 def share_of(column: str, rows: str) -> str:
@@ -337,11 +336,11 @@ _FACTOR = "CASE " + " ".join(
 
 def annual(column: str) -> str:
     return (f"CAST(CAST({column} AS DECIMAL(14,0)) * CAST({_FACTOR} AS DECIMAL(4,0)) * "
-            "coalesce(rate, CAST(1 AS DECIMAL(12,7))) AS DECIMAL(14,2))")
+            "coalesce(rate, CAST(1 AS DECIMAL(12,7))) AS DECIMAL(24,2))")
 
 
 PARTS["annual_jobs"] = f"""SELECT * EXCLUDE (rate, currency), coalesce(
-        CAST((salary_min_annual_usd + salary_max_annual_usd) * 0.5 AS DECIMAL(14,2)),
+        CAST((salary_min_annual_usd + salary_max_annual_usd) * 0.5 AS DECIMAL(24,2)),
         salary_min_annual_usd, salary_max_annual_usd) AS salary_annual_usd
     FROM (SELECT *, {annual('salary_min')} AS salary_min_annual_usd,
         {annual('salary_max')} AS salary_max_annual_usd FROM raw_jobs LEFT JOIN usd ON salary_currency = currency)"""
@@ -761,7 +760,7 @@ check("nearest_category", """SELECT vec_id, CASE WHEN score > 0.47 THEN CAST(cat
 PARTS["paid"] = """SELECT *, (salary_min + salary_max) / 2 AS salary FROM postings
     WHERE (salary_min + salary_max) / 2 > 1000 AND (salary_min + salary_max) / 2 < 500000"""
 PARTS["residuals"] = """SELECT *, salary - baseline AS residual FROM (SELECT *,
-    avg(salary) OVER (PARTITION BY country, seniority_level, standardized_title) AS baseline FROM paid)"""
+    avg(salary) OVER (PARTITION BY company_name, published, country) AS baseline FROM paid)"""
 PARTS["residual_rows"] = "SELECT job_id, residual, unnest(skills) AS skill FROM residuals"
 check("salary_baseline_residual", "SELECT job_id, salary, baseline, residual FROM residuals",
       "salary baseline residual")
@@ -772,7 +771,7 @@ check("job_skill_rows", f"""SELECT skill, job_id, {_CONTROLS} FROM skill_rows WH
     (SELECT skill FROM skill_n WHERE n >= 5)""")
 check("job_skill_matrix", "SELECT job_id, " + ", ".join(
     f"""CAST(list_contains(skills, '{s}') AS INTEGER) AS "{s}\""""
-    for s in ("python", "sql", "machine learning", "aws", "tableau", "spark"))
+    for s in sorted({v.strip().lower() for v in P.SKILL_OF_TOKEN.values()}))
     + f", {_CONTROLS} FROM postings")
 PARTS["residual_skill"] = """SELECT skill, count(*) AS n, sum(residual) AS s FROM residual_rows
     GROUP BY skill HAVING count(*) >= 5"""
@@ -791,6 +790,29 @@ PARTS["interactions"] = """SELECT skill_1, skill_2, n_ab AS jobs,
 check("skill_interactions", """SELECT * FROM interactions WHERE synergy IS NOT NULL
     ORDER BY abs(synergy) DESC, skill_1, skill_2 LIMIT 20""", "synergy")
 
+# The greedy walk over ranked skills: each free one takes up to four free partners.
+PARTS["cluster_top"] = """SELECT skill, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, skill) AS rk
+    FROM skill_rows GROUP BY skill QUALIFY rk <= 30"""
+PARTS["cluster_edges"] = """SELECT p.skill AS a, q.skill AS b, count(*) AS n
+    FROM skill_rows p JOIN skill_rows q ON p.job_id = q.job_id AND p.skill <> q.skill
+    JOIN cluster_top s ON s.skill = p.skill JOIN cluster_top t ON t.skill = q.skill
+    GROUP BY ALL HAVING count(*) >= 10"""
+PARTS["cluster_list"] = "SELECT coalesce(list({'a': a, 'b': b, 'n': n}), []) AS edges FROM cluster_edges"
+PARTS["cluster_walk"] = """SELECT CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[]) AS used,
+        CAST(NULL AS VARCHAR) AS core, CAST([] AS STRUCT(m BIGINT, p VARCHAR)[]) AS chosen
+    UNION ALL
+    SELECT step + 1, CASE WHEN takes THEN list_concat(used, list_concat([name], list_transform(pick, lambda c: c.p)))
+        ELSE used END, CASE WHEN takes THEN name END, pick
+    FROM (SELECT *, NOT list_contains(used, name) AND len(pick) > 0 AS takes FROM (
+        SELECT w.step, w.used, t.skill AS name, list_slice(list_sort(list_transform(
+            list_filter(e.edges, lambda x: x.a = t.skill AND NOT list_contains(w.used, x.b)),
+            lambda x: {'m': -x.n, 'p': x.b})), 1, 4) AS pick
+        FROM cluster_walk w JOIN cluster_top t ON t.rk = w.step + 1, cluster_list e))"""
+check("skill_clusters", """SELECT 'Cluster_' || row_number() OVER (ORDER BY step) AS cluster, core AS core_skill,
+    array_to_string(list_concat([core], list_transform(chosen, lambda c: c.p)), '|') AS skills,
+    -CAST(list_sum(list_transform(chosen, lambda c: c.m)) AS DOUBLE) / len(chosen) AS avg_co_occurrence,
+    CAST(len(chosen) + 1 AS INTEGER) AS size FROM cluster_walk WHERE core IS NOT NULL""", "avg_co_occurrence")
+
 # Quality and cleaning --------------------------------------------------------------
 
 check("quality_report", """SELECT count(*) AS total_jobs,

@@ -67,7 +67,7 @@ LEVEL_OF_STATUS = {"F": "Manager", "O": "Unspecified", "P": "Executive"}
 ROLES = sorted(ROLE_OF_SEGMENT.values())
 
 # Confounders and controls of the salary queries.
-CONFOUNDERS = ["country", "seniority_level", "standardized_title"]
+CONFOUNDERS = ["company_name", "published", "country"]
 CONTROLS = ["work_mode", "job_type"]
 
 
@@ -107,39 +107,18 @@ def listed(values: list[str | None]) -> Column:
     return F.expr(f"array({', '.join(_literal(v) for v in values)})[n_nationkey]")
 
 
-# Skills in sorted order; a skill's place is its bit.
-_WRITTEN = sorted(SKILL_OF_TOKEN.values())
-
-
-def _bits(text: str, tokens: list[str]) -> str:
-    whens = " ".join(
-        f"WHEN {_literal(t)} THEN {1 << _WRITTEN.index(SKILL_OF_TOKEN[t])}L" for t in tokens
-    )
-    return f"CASE {text} {whens} ELSE 0L END"
-
-
 def order_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(order, distinct skills as written, sorted).
-
-    The words form a short fixed list, so the skills of a part are one long of bits
-    and those of an order the OR over its lines: combined on the map side, and the
-    shuffle carries one number per order.
-    """
-    lower = [t for t in SKILL_OF_TOKEN if t.islower()]
-    upper = [t for t in SKILL_OF_TOKEN if t.isupper()]
-    bits = " | ".join(
-        [_bits("split_part(p_name, ' ', 1)", lower), _bits("split_part(p_name, ' ', 2)", lower),
-         _bits("p_type", upper)]
+    """(order, distinct skills as written, sorted): every word of its parts' names and
+    their types; a word without an entry in the list stands for itself."""
+    written = F.create_map(*[F.lit(x) for pair in SKILL_OF_TOKEN.items() for x in pair])
+    words = F.array_compact(F.concat(F.split("p_name", " "), F.array("p_type")))
+    skills = F.transform(words, lambda w: F.coalesce(written[w], w))
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.array_distinct(skills).alias("named")
     )
-    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", f"{bits} AS bits")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    merged = lines.join(parts, "l_partkey").groupBy("l_orderkey").agg(F.bit_or("bits").alias("bits"))
-    named = ", ".join(
-        f"IF(bit_get(bits, {i}) = 1, {_literal(name)}, NULL)" for i, name in enumerate(_WRITTEN)
-    )
-    return merged.selectExpr(
-        "l_orderkey", f"array_except(array({named}), array(CAST(NULL AS STRING))) AS skills"
-    )
+    rows = lines.join(parts, "l_partkey").select("l_orderkey", F.explode("named").alias("skill"))
+    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
 
 
 def orders_in_full(spark: SparkSession, sf_dir: str, skills: bool = True) -> DataFrame:
@@ -255,7 +234,7 @@ def url_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     for host, mark in (("example.com", "greenhouse.io"), ("example.net", "jobs.Lever.co")):
         url = F.replace(url, F.lit(host), F.lit(mark))
-    bare = F.when(url.startswith("http://"), F.substring(url, 8, 2000)).otherwise(url)
+    bare = F.regexp_replace(url, "^http://", "")
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("slug"), bare.alias("final_url"), "page_id"
     )

@@ -64,7 +64,7 @@ def _cleaned_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = P.analysis_jobs(spark, sf_dir)
     return jobs.select(
         F.col("job_id").alias("job_slug"), F.col("standardized_title").alias("title"),
-        F.concat(F.lit("['"), F.array_join("skills", "', '"), F.lit("']")).alias("skills"),
+        F.to_json("skills").alias("skills"),
         "country", "published", "company_name", "salary_min", "salary_max", "job_type",
         "work_mode", "standardized_title", "seniority_level",
     )
@@ -430,7 +430,7 @@ def skill_pivot(spark, sf_dir):
 
 @query
 def skill_pivot_job_ids(spark, sf_dir):
-    return joined_text(base.pivot_job_ids(P.postings(spark, sf_dir)), "job_ids")
+    return base.pivot_job_ids(P.postings(spark, sf_dir))
 
 
 @query
@@ -1038,7 +1038,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query
 def nearest_category(spark, sf_dir):
     vectors, centroids = _vectors(spark, sf_dir)
-    return titles.nearest_category(vectors, "embedding", centroids, 0.47).select(
+    return titles.nearest_category(
+        vectors, "embedding", titles.category_model(centroids), 0.47
+    ).select(
         "vec_id", "standardized_title", "similarity_score"
     )
 
@@ -1052,7 +1054,9 @@ def category_centroids(spark, sf_dir):
 @query
 def similarity_matrix(spark, sf_dir):
     vectors, centroids = _vectors(spark, sf_dir)
-    return titles.similarity_matrix(vectors, "vec_id", "embedding", centroids)
+    return titles.similarity_matrix(
+        vectors, "vec_id", "embedding", titles.category_model(centroids)
+    )
 
 
 def _paid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1075,7 +1079,7 @@ def salary_baseline_fit(spark, sf_dir):
 
 @query
 def salary_boosted_baseline(spark, sf_dir):
-    fitted = salaries.boosted_baseline(_paid(spark, sf_dir), P.CONFOUNDERS, rounds=5, depth=3)
+    fitted = salaries.boosted_baseline(_paid(spark, sf_dir), P.CONFOUNDERS)
     return salaries.baseline_fit(fitted)
 
 
@@ -1086,8 +1090,7 @@ def job_skill_rows(spark, sf_dir):
 
 @query
 def job_skill_matrix(spark, sf_dir):
-    named = [s.lower() for s in KEY_SKILLS]
-    return salaries.job_skill_matrix(P.postings(spark, sf_dir), named, P.CONTROLS)
+    return salaries.job_skill_matrix(P.postings(spark, sf_dir), controls=P.CONTROLS)
 
 
 @query

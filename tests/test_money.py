@@ -1,7 +1,13 @@
 from decimal import Decimal
 
+from talentgrid import fixed_values as fv
 from talentgrid.functions.money import annual_usd_salaries
 
+#: Beyond fourteen digits: neither bound may stand in for the other.
+_KWD = 2080 * Decimal(fv.USD_PER_UNIT["KWD"])
+NARROW, WIDE = (str(round(n * _KWD, 2)) for n in (50, 2_000_000_000))
+MIDDLE = str(round((50 + 2_000_000_000) * _KWD / 2, 2))
+
 
 def test_annual_salaries(spark):
     cases = [
@@ -12,7 +18,8 @@ def test_annual_salaries(spark):
         (50000, 60001, "GBP", None, "63500.00", "76201.27", "69850.64"),
         (0, 0, "USD", "year", "0.00", "0.00", "0.00"),
         (2_000_000, None, "USD", "hour", "4160000000.00", None, "4160000000.00"),
-        (2_000_000_000, None, "KWD", "hour", None, None, None),
+        (2_000_000_000, None, "KWD", "hour", WIDE, None, WIDE),
+        (50, 2_000_000_000, "KWD", "hour", NARROW, WIDE, MIDDLE),
         (None, None, "USD", "hour", None, None, None),
     ]
     df = spark.createDataFrame(

@@ -16,15 +16,19 @@ def jobs():
     return made
 
 
-def brute_pairs(jobs, most=20):
+def brute_pairs(jobs, most=10**6):
     return Counter(
         p for j in jobs if 2 <= len(j[3]) <= most for p in combinations(sorted(j[3]), 2)
     )
 
 
-def test_pair_counts_leave_out_overlong_jobs(posted, jobs):
-    got = {(r["skill_1"], r["skill_2"]): r["mentions"] for r in PR.pair_counts(posted(jobs)).collect()}
-    assert got == dict(brute_pairs(jobs))
+@pytest.mark.parametrize("most", [None, 20])
+def test_pair_counts_of_jobs_of_any_length(posted, jobs, most):
+    """One job has 21 skills: it counts unless a bound is asked for."""
+    found = PR.pair_counts(posted(jobs), most=most).collect()
+    got = {(r["skill_1"], r["skill_2"]): r["mentions"] for r in found}
+    assert got == dict(brute_pairs(jobs, most or 10**6))
+    assert (("x0", "x1") in got) == (most is None)
 
 
 def test_top_pairs_then_threshold(posted, jobs):

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -78,9 +79,19 @@ def test_nearest_category(spark, rows):
     centroids = titles.category_centroids(labelled, "label", "v")
     jobs = spark.createDataFrame([(1, [9.0, 1.0]), (2, [-1.0, -1.0]), (3, [1.0, 1.0]), (4, None)],
                                  "id int, v array<double>")
-    got = rows(titles.nearest_category(jobs, "v", centroids), "id", "standardized_title")
+    got = rows(titles.nearest_category(jobs, "v", titles.category_model(centroids)), "id", "standardized_title")
     assert got == [(1, "A"), (2, "Other"), (3, "A"), (4, "Other")]
-    assert titles.similarity_matrix(jobs, "id", "v", centroids).count() == 8
+    model = titles.category_model(centroids)
+    assert titles.similarity_matrix(jobs, "id", "v", model).count() == 8
+
+
+def test_more_than_a_thousand_categories(spark):
+    vectors = np.random.default_rng(1).normal(size=(1203, 8))
+    names = [f"c{i:04}" for i in range(1203)]
+    model = titles.CategoryModel(tuple(names), vectors)
+    jobs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, v array<double>")
+    found = titles.nearest_category(jobs, "v", model).collect()
+    assert all(r.standardized_title == names[r.id] for r in found)
 
 
 def test_counts_stream_equals_batch(spark, tmp_path, rows):

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from talentgrid.functions import dates, skills, text
+from talentgrid.plans import projection
 
 
 def mapped(spark, values, function, kind="string"):
@@ -88,6 +89,18 @@ def test_dates(spark):
     months = mapped(spark, ["2024_01", "2024_03", "2024_04"],
                     lambda v: dates.month_between(v, "2024-01-01", "2024-03-01"))
     assert months == [True, True, False]
+    late = mapped(spark, ["2024_01", "2024_02", "2025_01", None],
+                  lambda v: dates.month_between(v, "2024-01-02", "2024-12-31"))
+    assert late == [False, True, False, None]
+
+
+def test_long_urls_stay_whole(spark, tmp_path):
+    url = "http://example.com/" + "x" * 3000
+    spark.createDataFrame([(1, url, "")], "page_id long, url string, html string").write.parquet(
+        str(tmp_path / "pages.parquet")
+    )
+    row = projection.url_results(spark, str(tmp_path)).first()
+    assert row["final_url"] == "greenhouse.io/" + "x" * 3000
 
 
 def test_urls(spark):

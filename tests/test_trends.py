@@ -101,10 +101,12 @@ def test_quantiles_are_exact_at_any_size(spark, n):
     wanted = {"p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
     linear = quantiles.linear_quantiles(df, "v", wanted).collect()[0]
     indexed = quantiles.indexed_quantiles(df, "v", wanted).collect()[0]
+    lower = quantiles.lower_quantiles(df, "v", wanted).collect()[0]
     ordered = np.sort(values)
     for name, q in wanted.items():
         assert linear[name] == pytest.approx(np.percentile(values, q * 100), abs=1e-12)
         assert indexed[name] == ordered[int(q * n)]
+        assert lower[name] == ordered[int(q * (n - 1))]
 
 
 def test_insights_count_flags(spark):
