@@ -23,8 +23,8 @@ BAND = 5
 #: Of the 120 low bits of the signature, a pair at 0.85 agrees on 111 in the mean with a
 #: deviation of 2.9; fewer than this is more than six deviations away.
 AGREEING_BITS = 92
-#: Rows of a shared band that one task compares with its other groups at a time.
-BLOCK = 512
+#: Rows of a shared band that are compared with as many others at a time.
+BLOCK = 256
 
 _SIGNED = (
     "doc_id long, n_shingles long, content binary, low bigint, high bigint, bands array<bigint>"
@@ -83,11 +83,11 @@ class MinMaxSigner:
 
 
 def _low_bits(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest bit of each value, half of them in either number."""
+    """The lowest bit of each value, half of them in either number, none negative."""
     bits = (signatures & np.uint64(1)).astype(np.uint8)
     half = bits.shape[1] // 2
     packed = [
-        np.packbits(np.pad(b, ((0, 0), (0, 64 - b.shape[1]))), axis=1).view(">i8")[:, 0]
+        np.packbits(np.pad(b, ((0, 0), (64 - b.shape[1], 0))), axis=1).view(">i8")[:, 0]
         for b in (bits[:, :half], bits[:, half:])
     ]
     return packed[0].astype(np.int64), packed[1].astype(np.int64)
@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        stars are as many as the rows, and pairs that sizes or signature bits rule out go.
     3. Pairs are confirmed on their full sets, and links contracted to components.
     4. Where a band value still holds several components, every row outside its largest
-       one is compared with all rows of the others, in blocks of rows; what remains is
-       confirmed, so no pair that shares a band is left out whatever the group's size.
+       one is compared with all rows of the others on full sets, block by block, so no pair
+       that shares a band is left out whatever the group's size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), no_null().alias("text"))
@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     texts = settle(rows.join(involved, "doc_id", "left_semi"), "texts")
     links = settle(_confirmed(stars, texts, width, percent), "star-links")
     grouped = components(links)
-    crossing = settle(_crossing_pairs(members, grouped, stars, percent), "crossing")
-    more = _confirmed(crossing, texts, width, percent)
+    bands = classes.select("id", "bands")
+    more = _crossing_links(members, grouped, bands, texts, width, percent)
     # Labels stand for what stars have linked already.
     final = components(
         settle(more.unionByName(grouped.select(F.col("node").alias("a"), F.col("label").alias("b"))), "links")
@@ -261,40 +261,112 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _crossing_pairs(
-    members: DataFrame, grouped: DataFrame, tested: DataFrame, percent: int
+def _crossing_comparer(width: int, percent: int):
+    """Links between the outside rows and all rows of one block of a shared band."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        outside = table.column("outer").to_numpy(zero_copy_only=False).astype(bool)
+        columns = {
+            c: table.column(c).to_numpy()
+            for c in ("key", "id", "n", "low", "high", "group", "largest", "first")
+        }
+        bands = np.stack(table.column("bands").to_numpy())
+        texts = table.column("text")
+        o, a = np.flatnonzero(outside), np.flatnonzero(~outside)
+        x, y = ({c: v[i] for c, v in columns.items()} for i in (o, a))
+        # Two outside rows meet twice, with either in front.
+        may = (x["group"][:, None] != y["group"]) & (
+            (y["group"] == y["largest"]) | (x["id"][:, None] > y["id"])
+        )
+        may &= 100 * np.minimum(x["n"][:, None], y["n"]) >= percent * np.maximum(x["n"][:, None], y["n"])
+        differing = np.bitwise_count(x["low"][:, None] ^ y["low"]).astype(np.int16)
+        differing += np.bitwise_count(x["high"][:, None] ^ y["high"])
+        may &= differing <= 2 * PERMUTATIONS - AGREEING_BITS
+        # Stars have compared the first row of the band with all others.
+        may &= (x["id"] != x["first"])[:, None] & (y["id"] != y["first"])
+        left, right = np.nonzero(may)
+        # A pair counts in the first band that both share: there it was a star, is in one
+        # component already, or is compared.
+        shared = bands[o[left]] == bands[a[right]]
+        here = bands[o[left]] == columns["key"][0]
+        now = shared.argmax(axis=1) == here.argmax(axis=1)
+        left, right = left[now], right[now]
+        order = np.argsort(differing[left, right], kind="stable")
+
+        numbers: dict[tuple, int] = {}
+        sets: dict[int, set[int]] = {}
+        root: dict[int, int] = {}
+
+        def find(g: int) -> int:
+            while root.get(g, g) != g:
+                root[g] = g = root.get(root[g], root[g])
+            return g
+
+        def numbered(i: int) -> set[int]:
+            if i not in sets:
+                found = shingle_set(texts[i].as_py(), width)
+                sets[i] = {numbers.setdefault(s, len(numbers)) for s in found}
+            return sets[i]
+
+        links = []
+        for i, j in zip(o[left[order]].tolist(), a[right[order]].tolist()):
+            g, h = find(int(columns["group"][i])), find(int(columns["group"][j]))
+            if g == h:
+                continue
+            one, other = numbered(i), numbered(j)
+            both = len(one & other)
+            if 100 * both >= percent * (len(one) + len(other) - both):
+                links.append((int(columns["id"][i]), int(columns["id"][j])))
+                root[max(g, h)] = min(g, h)
+        return pa.table(
+            {c: pa.array([pair[k] for pair in links], pa.int64()) for k, c in enumerate("ab")}
+        )
+
+    return compare
+
+
+def _crossing_links(
+    members: DataFrame, grouped: DataFrame, bands: DataFrame, texts: DataFrame, width: int, percent: int
 ) -> DataFrame:
-    """Untested pairs (a, b) of different components that share a band value."""
-    placed = members.where("rows > 2").select("key", "x").join(
-        grouped.select(F.col("node").alias("id"), "label"), F.col("x.id") == F.col("id"), "left"
-    ).select("key", "x", F.coalesce("label", "x.id").alias("group"))
-    per_group = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+    """Links (a, b) that join the components which share a band value.
+
+    Within one band value, the rows outside its largest component meet all rows: both
+    are cut into blocks and every two blocks meet in one task. Pairs are never written
+    out; a block gives at most one link for each component that it joins.
+    """
+    placed = members.where("rows > 2").select("key", "first", "x.*").join(
+        grouped.select(F.col("node").alias("id"), F.col("label").alias("group")), "id", "left"
+    ).withColumn("group", F.coalesce("group", "id"))
+    per_group = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("rows"))
     mixed = (
         per_group.groupBy("key").agg(
-            F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"),
-            F.max_by("group", F.struct("n", "group")).alias("largest"),
+            F.sum("rows").alias("all"), F.max("rows").alias("most"), F.count(F.lit(1)).alias("groups"),
+            F.max_by("group", F.struct("rows", "group")).alias("largest"),
         )
         .where("groups > 1")
-        .select("key", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        .select(
+            "key", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("inner_blocks"),
+            F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("outer_blocks"),
+        )
     )
     there = settle(placed.join(mixed, "key"), "mixed")
-    inner = there.select(
-        "key", F.pmod(F.xxhash64("x.id"), F.col("blocks")).cast("int").alias("block"),
-        F.col("x").alias("y"), F.col("group").alias("group_y"),
-        (F.col("group") != F.col("largest")).alias("outside_y"),
-    )
-    outside = there.where(F.col("group") != F.col("largest")).select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "x", "group"
+    full = there.join(bands, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
+        each = F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)
+        return rows.select(
+            "key", mine, F.explode(each).alias(f"{other}_block"),
+            F.lit(own == "outer").alias("outer"), "id", "n", "low", "high", "group", "largest",
+            "first", "bands", "text",
+        )
+
+    meeting = dealt(full.where("group != largest"), "outer", "inner").unionByName(
+        dealt(full, "inner", "outer")
     )
-    pairs = outside.join(inner, ["key", "block"]).where(
-        (F.col("group") != F.col("group_y"))
-        & (~F.col("outside_y") | (F.col("x.id") < F.col("y.id")))
-        & _may_link("x", "y", percent)
+    return meeting.groupBy("key", "outer_block", "inner_block").applyInArrow(
+        _crossing_comparer(width, percent), "a long, b long"
     )
-    ids = pairs.select(
-        F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")
-    ).distinct()
-    return ids.join(tested, ["a", "b"], "left_anti")
 
 
 def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

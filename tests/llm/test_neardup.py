@@ -77,22 +77,27 @@ def test_families_copies_chains_and_unlike_relatives(spark):
     assert got(docs, 3, 85) == plain(rows, 3, 85)
 
 
-def test_crossing_pairs_reach_what_stars_miss(spark, monkeypatch):
-    """In a band led by an unlike text, the others still find each other, in small blocks."""
+def test_crossing_links_reach_what_stars_miss(spark, monkeypatch):
+    """In a band led by an unlike text the others still find each other, block by block."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    low = {"n": 100, "low": 0, "high": 0}
-    far = {"n": 100, "low": -1, "high": -1}
+    text = " ".join(f"w{i}" for i in range(100))
+    low, far = dict(n=98, low=0, high=0), dict(n=98, low=-1, high=-1)
     members = spark.createDataFrame(
         [(1, dict(id=0, **far), 0, 12)] + [(1, dict(id=i, **low), 0, 12) for i in range(1, 12)],
         "key long, x struct<id:long,n:long,low:long,high:long>, first long, rows long",
     )
-    none = spark.createDataFrame([], "node long, label long")
-    tested = spark.createDataFrame([(3, 1)], "a long, b long")
-    found = {tuple(r) for r in neardup._crossing_pairs(members, none, tested, 85).collect()}
-    want = {(a, b) for a in range(1, 12) for b in range(1, a)} - {(3, 1)}
-    assert found == want
-    joined = spark.createDataFrame([(i, 1) for i in range(1, 12)], "node long, label long")
-    assert neardup._crossing_pairs(members, joined, tested, 85).collect() == []
+    bands = spark.createDataFrame([(i, [5 * i + 100, 1]) for i in range(12)], "id long, bands array<long>")
+    texts = spark.createDataFrame([(i, text if i else "other") for i in range(12)], "doc_id long, text string")
+
+    def links(labels):
+        grouped = spark.createDataFrame(labels, "node long, label long")
+        return neardup._crossing_links(members, grouped, bands, texts, 3, 85)
+
+    found = {r.node: r.label for r in components(links([])).collect()}
+    assert found == {i: 1 for i in range(1, 12)}
+    halves = [(i, 1 + i % 2) for i in range(1, 12)]
+    assert 1 <= links(halves).count() <= 12
+    assert links([(i, 1) for i in range(1, 12)]).collect() == []
 
 
 def test_words_and_shingles():
