@@ -28,6 +28,8 @@ def mean(series: Column) -> Column:
 
 def ewma(series: Column, alpha: float) -> Column:
     """s0 = y0, then s = alpha*y + (1-alpha)*previous s."""
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha must lie in 0..1")
 
     def step(acc: Column, y: Column) -> Column:
         blended = F.lit(alpha) * y + F.lit(1.0 - alpha) * F.element_at(acc, -1)

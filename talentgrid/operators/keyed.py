@@ -105,9 +105,14 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
 
 def write_classification_back(jobs: DataFrame, classified: DataFrame, key: str,
                               columns: Sequence[str]) -> DataFrame:
-    """Update ``columns`` of jobs from ``classified`` by key; others keep what they have."""
-    fresh = classified.select(key, F.lit(True).alias("_hit"),
-                              *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """Update ``columns`` of jobs from ``classified`` by key; others keep what they have.
+
+    Of repeated keys in ``classified`` the first by the columns' values counts.
+    """
+    once = top_per_group(classified.select(key, *columns), [key],
+                         [F.asc_nulls_last(c) for c in columns])
+    fresh = once.select(key, F.lit(True).alias("_hit"),
+                        *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = jobs.join(fresh, key, "left")
     updated = {
         c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(

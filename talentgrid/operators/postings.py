@@ -146,6 +146,18 @@ def pivot_job_ids(postings: DataFrame) -> DataFrame:
     return expand_skills(postings, "job_id", *DIMENSIONS).select(*DIMENSIONS, "skill", "job_id")
 
 
+def postings_of_rows(rows: DataFrame) -> DataFrame:
+    """Postings from skill rows (job_id, dimensions, skill), such as a stored pivot's.
+
+    After a filter on the rows a posting has the skills that are left, so every
+    operator on postings also answers for a saved and filtered pivot. One shuffle by job.
+    """
+    require_columns(rows, "job_id", *DIMENSIONS, "skill")
+    return rows.groupBy("job_id", *DIMENSIONS).agg(
+        F.array_sort(F.collect_set("skill")).alias("skills")
+    )
+
+
 def distinct_skill_rows(rows: DataFrame) -> DataFrame:
     """Distinct (job_id, skill) rows of any long skill table."""
     return rows.select("job_id", "skill").dropna().distinct()

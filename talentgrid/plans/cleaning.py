@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentgrid.functions import text
 from talentgrid.functions.dates import month_key
@@ -13,17 +14,19 @@ from talentgrid.operators.keyed import cleaned_jobs, dedupe_earliest
 
 
 def clean_country(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumns(
-        {
-            "country_original": F.col("country"),
-            "country": text.standardize_country(F.col("country")),
-        }
+    """The rules run once for each different text, of which there are few."""
+    texts = jobs.select(F.col("country").alias("_raw")).distinct()
+    named = texts.withColumn("_named", text.standardize_country(F.col("_raw")))
+    others = [F.col(c) for c in jobs.columns if c != "country"]
+    return jobs.join(named, F.col("country").eqNullSafe(F.col("_raw")), "left").select(
+        *others, F.col("country").alias("country_original"), F.col("_named").alias("country")
     )
 
 
 def clean_employment(jobs: DataFrame) -> DataFrame:
-    """job_type and work_mode from the first entry of ``types``."""
-    first = text.employment_text_of(F.col("types"))
+    """job_type and work_mode from the first entry of ``types``, or from plain text."""
+    plain = jobs.schema["types"].dataType == T.StringType()
+    first = F.col("types") if plain else text.employment_text_of(F.col("types"))
     return jobs.withColumns({"job_type": text.job_type(first), "work_mode": text.work_mode(first)})
 
 

@@ -813,6 +813,25 @@ check("skill_clusters", """SELECT 'Cluster_' || row_number() OVER (ORDER BY step
     -CAST(list_sum(list_transform(chosen, lambda c: c.m)) AS DOUBLE) / len(chosen) AS avg_co_occurrence,
     CAST(len(chosen) + 1 AS INTEGER) AS size FROM cluster_walk WHERE core IS NOT NULL""", "avg_co_occurrence")
 
+# A saved pivot, read back and filtered: only the rows that are left count.
+def among(rows: str) -> str:
+    return f"(SELECT * FROM skill_rows WHERE {rows})"
+
+
+_SAVED = among("""published BETWEEN '1996_01' AND '1999_06' AND standardized_title = 'Data Engineer'
+    AND skill IN ('python', 'tableau')""")
+check("filtered_pivot_frequency", f"""SELECT skill, mentions, total_jobs, mentions / total_jobs * 100 AS prevalence
+    FROM (SELECT skill, count(DISTINCT job_id) AS mentions FROM {_SAVED} GROUP BY skill),
+        (SELECT count(DISTINCT job_id) AS total_jobs FROM {_SAVED})
+    ORDER BY mentions DESC, skill LIMIT 20""", "prevalence")
+_SAVED = among("""published BETWEEN '1993_03' AND '1998_01' AND skill IN ('python', 'sql', 'aws', 'excel')""")
+check("filtered_pivot_roles", f"""SELECT standardized_title, skill, mentions, total_jobs,
+    mentions / total_jobs * 100 AS prevalence,
+    CAST(row_number() OVER (PARTITION BY standardized_title ORDER BY mentions DESC, skill) AS INTEGER) AS rank
+    FROM (SELECT standardized_title, skill, count(DISTINCT job_id) AS mentions FROM {_SAVED} GROUP BY ALL)
+    JOIN (SELECT standardized_title, count(DISTINCT job_id) AS total_jobs FROM {_SAVED} GROUP BY ALL)
+        USING (standardized_title) QUALIFY rank <= 3""", "prevalence")
+
 # Quality and cleaning --------------------------------------------------------------
 
 check("quality_report", """SELECT count(*) AS total_jobs,

@@ -433,6 +433,25 @@ def skill_pivot_job_ids(spark, sf_dir):
     return base.pivot_job_ids(P.postings(spark, sf_dir))
 
 
+def _stored_rows(spark: SparkSession, sf_dir: str, wanted: dict) -> DataFrame:
+    """Postings as a saved pivot gives them back, after filters on its rows."""
+    folder = shared_folder(spark, "pivot-rows")
+    tables.write_parquet(base.pivot_job_ids(P.postings(spark, sf_dir)), folder)
+    rows = tables.read_parquet_table(spark, folder, "job_id", *base.DIMENSIONS, "skill")
+    return base.postings_of_rows(filters.filter_skill_rows(rows, wanted))
+
+
+@query
+def filtered_pivot_frequency(spark, sf_dir):
+    return base.skill_frequency(_stored_rows(spark, sf_dir, FILTERS))
+
+
+@query
+def filtered_pivot_roles(spark, sf_dir):
+    wanted = {"date_range": ("1993-02-15", "1998-01-31"), "skills": ["Python", "SQL", "AWS", "Excel"]}
+    return groups.skills_by_role(_stored_rows(spark, sf_dir, wanted), 3)
+
+
 @query
 def aggregate_pivot(spark, sf_dir):
     return base.aggregate_by(P.postings(spark, sf_dir), "company_name")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,16 +32,14 @@ def local_session(cores: str = "8", app: str = "talentgrid", memory: str = "8g")
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
-    Written tables must be readable from every executor, so the setting decides;
-    only a local master without the setting falls back to a temporary folder.
+    Written tables must be readable from every executor. Where the setting is missing,
+    Spark's warehouse is used, which all executors share too.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="talentgrid-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/talentgrid-work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

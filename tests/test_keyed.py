@@ -102,3 +102,10 @@ def test_salary_models_explain_residuals(spark):
     assert salaries.residual_fit(boosted).collect()[0]["r2"] > 0.9
     tree = salaries.boosted_baseline(df, ["country"], rounds=3, depth=2)
     assert tree.count() == 60 and "residual" in tree.columns
+
+
+def test_repeated_classifications_update_once(spark, rows):
+    jobs = spark.createDataFrame([("a", "x"), ("b", "y")], "slug string, level string")
+    classified = spark.createDataFrame([("a", "Senior"), ("a", "Lead"), ("a", None)], "slug string, level string")
+    got = K.write_classification_back(jobs, classified, "slug", ["level"])
+    assert rows(got, "slug", "level") == [("a", "Lead"), ("b", "y")]

@@ -116,3 +116,12 @@ def test_counting_plans_combine_before_the_shuffle(posted):
     plan = P.aggregate_by(posted(JOBS))._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_saved_rows_answer_for_the_chosen_skills_alone(posted, rows):
+    saved = P.pivot_job_ids(posted(JOBS))
+    again = P.postings_of_rows(saved)
+    assert rows(P.skill_frequency(again), "skill", "mentions") == rows(
+        P.skill_frequency(posted(JOBS)), "skill", "mentions")
+    chosen = P.postings_of_rows(saved.where("skill = 'sql'"))
+    assert {r["skill"] for r in P.skill_frequency(chosen).collect()} == {"sql"}

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from talentgrid.functions import dates, skills, text
-from talentgrid.plans import projection
+from talentgrid.plans import cleaning, projection
 
 
 def mapped(spark, values, function, kind="string"):
@@ -120,3 +120,10 @@ def test_locations(spark):
          (None, "Paris", None), (None, None, None)], "l string, c string, n string")
     got = [r[0] for r in df.select(text.compose_location(F.col("l"), F.col("c"), F.col("n"))).collect()]
     assert got == ["Paris, France", "Here", "France", "Paris", ""]
+
+
+def test_employment_as_plain_text(spark):
+    listed = spark.createDataFrame([(["Full-time, Remote"],), (None,)], "types array<string>")
+    plain = spark.createDataFrame([("Full-time, Remote",), (None,)], "types string")
+    kinds = [[(r["job_type"], r["work_mode"]) for r in cleaning.clean_employment(d).collect()] for d in (listed, plain)]
+    assert kinds[0] == kinds[1]
