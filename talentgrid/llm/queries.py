@@ -12,11 +12,11 @@ from talentgrid.llm import (
     chat, fingerprints, languages, mixing, neardup, packing, pii, quality, sharding, token_counts,
     tokens,
 )
+from talentgrid.llm.oracle import LLM_ORACLE  # noqa: F401  registered with the queries
 from talentgrid.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
-LLM_ORACLE: dict[str, str] = {}
 
 #: For the given tables only; a real run passes a secret of its own.
 PII_KEY = b"given tables"
