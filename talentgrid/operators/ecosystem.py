@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,25 @@ def role_specializations(postings: DataFrame, roles: list[str] | None = None) ->
     )
 
 
+def ecosystem_rows(postings: DataFrame) -> DataFrame:
+    """The whole report in long form: (part, key, item, value)."""
+    parts = skill_ecosystem(postings)
+    shapes = {
+        "top_combinations": ("skill_1", F.col("skill_2"), "mentions"),
+        "natural_clusters": ("core_skill", F.array_join("skills", "|"), "avg_co_occurrence"),
+        "role_specializations": (ROLE, F.col("top_skills"), "skill_intensity"),
+        "skill_universality": ("kind", F.col("skill"), "avg_prevalence"),
+    }
+    rows = [
+        parts[part].select(
+            F.lit(part).alias("part"), F.col(key).alias("key"), item.alias("item"),
+            F.col(value).cast("double").alias("value"),
+        )
+        for part, (key, item, value) in shapes.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def skill_ecosystem(postings: DataFrame) -> dict[str, DataFrame]:
     """The whole report: pairs, clusters, role profiles, universality. All lazy."""
     return {

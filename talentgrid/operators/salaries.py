@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -166,33 +168,42 @@ def skill_residual_model(fitted: DataFrame, controls: Sequence[str] = (), min_sa
 
     Skills become a sparse 0/1 vector sized to hold every skill with enough jobs.
     ``linear`` scales to any number of skills; ``boosted`` grows trees over the same
-    vector.
+    vector. The fit runs when this is called.
     """
+    return _skill_model(fitted, controls, min_samples, learner)(fitted)
+
+
+def _skill_model(fitted: DataFrame, controls: Sequence[str], min_samples: int,
+                 learner: str) -> Callable[[DataFrame], DataFrame]:
+    """Fit once; the result predicts any postings with the same columns."""
     filled = fill_unknown(fitted, controls)
     skills = CountVectorizer(
         inputCol="skills", outputCol="_skills", binary=True, minDF=float(min_samples),
         vocabSize=max(1, valid_skills(filled, min_samples).count()),
     )
-    data = skills.fit(filled).transform(filled)
-    parts = ["_skills"]
+    steps, parts = [skills], ["_skills"]
     if controls:
-        indexed = StringIndexer(
-            inputCols=list(controls), outputCols=[f"_{c}_ix" for c in controls],
-            stringOrderType="frequencyDesc",
-        ).fit(data).transform(data)
-        data = OneHotEncoder(
-            inputCols=[f"_{c}_ix" for c in controls], outputCols=[f"_{c}_hot" for c in controls]
-        ).fit(indexed).transform(indexed)
-        parts += [f"_{c}_hot" for c in controls]
-    data = VectorAssembler(inputCols=parts, outputCol="_features").transform(data)
+        indexed, hot = [f"_{c}_ix" for c in controls], [f"_{c}_hot" for c in controls]
+        steps += [
+            StringIndexer(inputCols=list(controls), outputCols=indexed,
+                          stringOrderType="frequencyDesc"),
+            OneHotEncoder(inputCols=indexed, outputCols=hot),
+        ]
+        parts += hot
+    steps.append(VectorAssembler(inputCols=parts, outputCol="_features"))
     if learner == "boosted":
-        model = GBTRegressor(featuresCol="_features", labelCol="residual",
-                             predictionCol="skill_prediction", maxIter=20, maxDepth=5, seed=42)
+        steps.append(GBTRegressor(featuresCol="_features", labelCol="residual", maxIter=20,
+                                  predictionCol="skill_prediction", maxDepth=5, seed=42))
     else:
-        model = LinearRegression(featuresCol="_features", labelCol="residual",
-                                 predictionCol="skill_prediction", regParam=1e-6)
-    predicted = model.fit(data).transform(data)
-    return predicted.select(*fitted.columns, "skill_prediction")
+        steps.append(LinearRegression(featuresCol="_features", labelCol="residual", regParam=1e-6,
+                                      predictionCol="skill_prediction", solver="l-bfgs"))
+    model = Pipeline(stages=steps).fit(filled)
+
+    def predict(df: DataFrame) -> DataFrame:
+        scored = model.transform(fill_unknown(df, controls))
+        return scored.select(*fitted.columns, "skill_prediction")
+
+    return predict
 
 
 def residual_fit(modelled: DataFrame) -> DataFrame:
@@ -202,14 +213,50 @@ def residual_fit(modelled: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class TwoStage:
+    """Baseline, skill model on the residuals, premiums and interactions.
+
+    Each part is worked out when it is asked for: only ``skill_r2`` fits a model.
+    """
+
+    fitted: DataFrame
+    controls: Sequence[str]
+    min_samples: int
+    top_n: int
+
+    def baseline_r2(self) -> DataFrame:
+        return baseline_fit(self.fitted)
+
+    def skill_r2(self) -> DataFrame:
+        return residual_fit(skill_residual_model(self.fitted, self.controls, self.min_samples))
+
+    def skill_premiums(self) -> DataFrame:
+        return skill_premium(self.fitted, self.min_samples)
+
+    def skill_interactions(self) -> DataFrame:
+        return skill_interactions(self.fitted, self.min_samples, self.top_n)
+
+
 def salary_two_stage(postings: DataFrame, confounders: Sequence[str],
                      controls: Sequence[str] = (), min_samples: int = 5,
-                     top_n: int = 20) -> dict[str, DataFrame]:
-    """Baseline, skill model on the residuals, premiums and interactions."""
-    fitted = salary_baseline(postings, confounders)
-    return {
-        "baseline_r2": baseline_fit(fitted),
-        "skill_r2": residual_fit(skill_residual_model(fitted, controls, min_samples)),
-        "skill_premiums": skill_premium(fitted, min_samples),
-        "skill_interactions": skill_interactions(fitted, min_samples, top_n),
-    }
+                     top_n: int = 20) -> TwoStage:
+    return TwoStage(salary_baseline(postings, confounders), controls, min_samples, top_n)
+
+
+def model_premium(fitted: DataFrame, skill: str, controls: Sequence[str] = (),
+                  min_samples: int = 5, learner: str = "linear") -> DataFrame:
+    """One row: mean prediction with the skill minus mean prediction without it.
+
+    One model is fitted; it predicts every posting twice, with its list as if the skill
+    were named and as if it were not.
+    """
+    predict = _skill_model(fitted, controls, min_samples, learner)
+    name = F.lit(skill.lower())
+    named = fitted.withColumn("skills", F.array_union("skills", F.array(name)))
+    unnamed = fitted.withColumn("skills", F.array_remove("skills", name))
+    means = [
+        predict(df).agg(F.avg("skill_prediction")).scalar() for df in (named, unnamed)
+    ]
+    one = fitted.sparkSession.range(1)
+    return one.select(F.lit(skill.lower()).alias("skill"), (means[0] - means[1]).alias("premium"))

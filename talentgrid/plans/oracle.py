@@ -452,17 +452,19 @@ check("role_comparison", "SELECT skill, " + ", ".join(
 check("top_rows_by_mean", """SELECT skill, sum(prevalence) / (SELECT count(DISTINCT standardized_title)
     FROM role_ten) AS mean_prevalence FROM role_ten GROUP BY skill ORDER BY mean_prevalence DESC, skill LIMIT 15""",
       "mean_prevalence")
-check("skill_ecosystem", """SELECT standardized_title, array_to_string(list(skill ORDER BY prevalence DESC, skill), ', ')
+_ROLES = """SELECT standardized_title, array_to_string(list(skill ORDER BY prevalence DESC, skill), ', ')
     AS top_skills, sum(prevalence) / least(10, (SELECT count(DISTINCT skill) FROM role_ten)) AS skill_intensity
-    FROM role_ten GROUP BY standardized_title""", "skill_intensity")
-check("universal_specialized", """SELECT kind, CAST(row_number() OVER (PARTITION BY kind
+    FROM role_ten GROUP BY standardized_title"""
+check("role_specializations", _ROLES, "skill_intensity")
+_UNIVERSAL = """SELECT kind, CAST(row_number() OVER (PARTITION BY kind
         ORDER BY avg_prevalence DESC, skill) AS INTEGER) AS rank, skill, role_count, total_roles,
     CASE WHEN kind = 'specialized' THEN role END AS primary_role, avg_prevalence
     FROM (SELECT *, CASE WHEN role_count >= total_roles * 0.6 AND avg_prevalence > 15 THEN 'universal'
             WHEN role_count = 1 AND avg_prevalence > 25 THEN 'specialized' END AS kind
         FROM (SELECT skill, count(*) AS role_count, (SELECT count(DISTINCT standardized_title) FROM role_top)
             AS total_roles, min(standardized_title) AS role, avg(prevalence) AS avg_prevalence
-            FROM role_top GROUP BY skill)) WHERE kind IS NOT NULL QUALIFY rank <= 10""", "avg_prevalence")
+            FROM role_top GROUP BY skill)) WHERE kind IS NOT NULL QUALIFY rank <= 10"""
+check("universal_specialized", _UNIVERSAL, "avg_prevalence")
 
 # Sets and pairs --------------------------------------------------------------------
 
@@ -498,9 +500,13 @@ PARTS["pair_labels"] = """SELECT skill_1, skill_2, CASE WHEN coalesce(a.category
     AS combination_type FROM pair_n LEFT JOIN skill_cat a ON a.skill = skill_1
     LEFT JOIN skill_cat b ON b.skill = skill_2"""
 check("pair_domain_label", "SELECT * FROM pair_labels")
-check("pair_prevalence", f"""SELECT skill_1, skill_2, mentions, prevalence, combination_type, {_SYNERGY}
-    FROM {top_pairs(40, 3)} JOIN pair_labels USING (skill_1, skill_2) JOIN overlap USING (skill_1, skill_2)
-    ORDER BY mentions DESC, skill_1, skill_2 LIMIT 20""", "prevalence")
+def prevalent_pairs(n: int) -> str:
+    return f"""SELECT skill_1, skill_2, mentions, prevalence, combination_type, {_SYNERGY}
+    FROM {top_pairs(2 * n, 3)} JOIN pair_labels USING (skill_1, skill_2) JOIN overlap USING (skill_1, skill_2)
+    ORDER BY mentions DESC, skill_1, skill_2 LIMIT {n}"""
+
+
+check("pair_prevalence", prevalent_pairs(20), "prevalence")
 
 # Scalar functions ------------------------------------------------------------------
 
@@ -780,15 +786,19 @@ PARTS["premiums"] = """SELECT skill, k.n AS jobs,
     k.s / k.n - CASE WHEN a.n > k.n THEN (a.s - k.s) / (a.n - k.n) END AS dollar_premium,
     k.n / a.n AS prevalence FROM residual_skill k, residual_all a"""
 check("skill_premium", "SELECT * FROM premiums", "dollar_premium prevalence")
-check("salary_two_stage", "SELECT skill, dollar_premium FROM premiums", "dollar_premium")
 PARTS["interactions"] = """SELECT skill_1, skill_2, n_ab AS jobs,
     s_ab / n_ab - (x.s - s_ab) / nullif(x.n - n_ab, 0) - (y.s - s_ab) / nullif(y.n - n_ab, 0)
         + (a.s - x.s - y.s + s_ab) / nullif(a.n - x.n - y.n + n_ab, 0) AS synergy
     FROM (SELECT p.skill AS skill_1, q.skill AS skill_2, count(*) AS n_ab, sum(p.residual) AS s_ab
         FROM residual_rows p JOIN residual_rows q ON p.job_id = q.job_id AND p.skill < q.skill GROUP BY ALL)
     JOIN residual_skill x ON x.skill = skill_1 JOIN residual_skill y ON y.skill = skill_2, residual_all a"""
-check("skill_interactions", """SELECT * FROM interactions WHERE synergy IS NOT NULL
-    ORDER BY abs(synergy) DESC, skill_1, skill_2 LIMIT 20""", "synergy")
+_INTERACTIONS = """SELECT * FROM interactions WHERE synergy IS NOT NULL
+    ORDER BY abs(synergy) DESC, skill_1, skill_2 LIMIT 20"""
+check("skill_interactions", _INTERACTIONS, "synergy")
+check("salary_two_stage", f"""SELECT 'baseline_r2' AS part, CAST(NULL AS VARCHAR) AS skill, CAST(NULL AS VARCHAR) AS other,
+        1 - sum(residual * residual) / (var_pop(salary) * count(*)) AS value FROM residuals
+    UNION ALL SELECT 'skill_premiums', skill, NULL, dollar_premium FROM premiums
+    UNION ALL SELECT 'skill_interactions', skill_1, skill_2, synergy FROM ({_INTERACTIONS})""", "value")
 
 # The greedy walk over ranked skills: each free one takes up to four free partners.
 PARTS["cluster_top"] = """SELECT skill, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, skill) AS rk
@@ -808,10 +818,16 @@ PARTS["cluster_walk"] = """SELECT CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[
             list_filter(e.edges, lambda x: x.a = t.skill AND NOT list_contains(w.used, x.b)),
             lambda x: {'m': -x.n, 'p': x.b})), 1, 4) AS pick
         FROM cluster_walk w JOIN cluster_top t ON t.rk = w.step + 1, cluster_list e))"""
-check("skill_clusters", """SELECT 'Cluster_' || row_number() OVER (ORDER BY step) AS cluster, core AS core_skill,
+_CLUSTERS = """SELECT 'Cluster_' || row_number() OVER (ORDER BY step) AS cluster, core AS core_skill,
     array_to_string(list_concat([core], list_transform(chosen, lambda c: c.p)), '|') AS skills,
     -CAST(list_sum(list_transform(chosen, lambda c: c.m)) AS DOUBLE) / len(chosen) AS avg_co_occurrence,
-    CAST(len(chosen) + 1 AS INTEGER) AS size FROM cluster_walk WHERE core IS NOT NULL""", "avg_co_occurrence")
+    CAST(len(chosen) + 1 AS INTEGER) AS size FROM cluster_walk WHERE core IS NOT NULL"""
+check("skill_clusters", _CLUSTERS, "avg_co_occurrence")
+check("skill_ecosystem", f"""SELECT 'top_combinations' AS part, skill_1 AS key, skill_2 AS item,
+        CAST(mentions AS DOUBLE) AS value FROM ({prevalent_pairs(15)})
+    UNION ALL SELECT 'natural_clusters', core_skill, skills, avg_co_occurrence FROM ({_CLUSTERS})
+    UNION ALL SELECT 'role_specializations', standardized_title, top_skills, skill_intensity FROM ({_ROLES})
+    UNION ALL SELECT 'skill_universality', kind, skill, avg_prevalence FROM ({_UNIVERSAL})""", "value")
 
 # A saved pivot, read back and filtered: only the rows that are left count.
 def among(rows: str) -> str:
@@ -872,11 +888,11 @@ check("stream_company_counts", """SELECT user_id AS company_slug,
     CAST(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 WHEN 'view' THEN 1 WHEN 'click' THEN -1
         ELSE 0 END) AS BIGINT) AS jobs_ai_count FROM events GROUP BY user_id""")
 check("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
-check("stream_batch_upsert", """SELECT user_id, event_type, CAST(1 AS BIGINT) AS n FROM events
+check("stream_batch_upsert", """SELECT user_id, event_type, min(event_id) AS event_id FROM events
     GROUP BY user_id, event_type""")
 check("stamp_updated_at", """SELECT company_key, source_key, amount, created_at_utc, updated_at_utc FROM (
     SELECT c_custkey AS company_key, CAST(NULL AS BIGINT) AS source_key, c_acctbal AS amount,
         TIMESTAMP '2020-01-01' AS created_at_utc, TIMESTAMP '2020-01-01' AS updated_at_utc FROM customer
     WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT company_key FROM latest_orders)
     UNION ALL SELECT l.*, CASE WHEN c_acctbal >= 0 THEN TIMESTAMP '2020-01-01' ELSE TIMESTAMP '2024-05-01' END,
-        TIMESTAMP '2024-05-01' FROM latest_orders l JOIN customer ON c_custkey = company_key)""", "amount")
+        TIMESTAMP '2024-05-01' FROM latest_orders l JOIN customer ON c_custkey = company_key)""", "amount")
\ No newline at end of file

@@ -986,7 +986,12 @@ def universal_specialized(spark, sf_dir):
 
 @query
 def skill_ecosystem(spark, sf_dir):
-    return ecosystem.skill_ecosystem(P.postings(spark, sf_dir))["role_specializations"]
+    return ecosystem.ecosystem_rows(P.postings(spark, sf_dir))
+
+
+@query
+def role_specializations(spark, sf_dir):
+    return ecosystem.role_specializations(P.postings(spark, sf_dir))
 
 
 @query
@@ -1131,9 +1136,20 @@ def skill_interactions(spark, sf_dir):
 @query
 def salary_two_stage(spark, sf_dir):
     parts = salaries.salary_two_stage(_paid(spark, sf_dir), P.CONFOUNDERS, P.CONTROLS)
-    return parts["skill_premiums"].select("skill", "dollar_premium").orderBy(
-        F.desc("dollar_premium"), F.asc("skill")
+    none = F.lit(None).cast("string")
+    fit = parts.baseline_r2().select(
+        F.lit("baseline_r2").alias("part"), none.alias("skill"), none.alias("other"),
+        F.col("r2").alias("value"),
     )
+    premiums = parts.skill_premiums().select(
+        F.lit("skill_premiums").alias("part"), "skill", none.alias("other"),
+        F.col("dollar_premium").alias("value"),
+    )
+    joint = parts.skill_interactions().select(
+        F.lit("skill_interactions").alias("part"), F.col("skill_1").alias("skill"),
+        F.col("skill_2").alias("other"), F.col("synergy").alias("value"),
+    )
+    return fit.unionByName(premiums).unionByName(joint)
 
 
 # Quality ---------------------------------------------------------------------------
@@ -1193,9 +1209,8 @@ def _event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_company_counts(spark, sf_dir):
     folder = shared_folder(spark, "company-counts")
     counts = feeds.company_counts(_changes(_event_feed(spark, sf_dir)))
-    feeds.write_latest(counts, folder, f"{folder}-state").awaitTermination()
-    saved = spark.read.parquet(folder)
-    return saved.where(F.col("batch") == saved.agg(F.max("batch")).scalar()).drop("batch")
+    feeds.write_changes(counts, folder, f"{folder}-state").awaitTermination()
+    return feeds.latest_counts(spark, folder)
 
 
 @query
@@ -1204,25 +1219,27 @@ def stream_dedupe(spark, sf_dir):
     feed = _event_feed(spark, sf_dir).select(
         "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")
     )
-    first = feeds.first_seen(feed, ["user_id", "event_type"], "ts", "60 days")
+    first = feeds.first_seen(feed, ["user_id", "event_type"])
     feeds.append_rows(first, folder, f"{folder}-state").awaitTermination()
     return spark.read.parquet(folder).select("user_id", "event_type")
 
 
 @query
 def stream_batch_upsert(spark, sf_dir):
+    """Three deliveries of events, each caught up before the next; a key's first row wins."""
     source, folder = shared_folder(spark, "event-files"), shared_folder(spark, "event-table")
     events = P.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    events.repartition(6, "event_id").write.parquet(source)
-    spark.createDataFrame([], events.schema).write.parquet(folder)
-    feed = feeds.read_feed(spark, source, events.schema, files_per_batch=2)
-    feeds.insert_batches(
-        feed, folder, f"{folder}-state", ["user_id", "event_type"],
-        lambda: [F.asc("event_id")],
-    ).awaitTermination()
-    return spark.read.schema(events.schema).parquet(folder).groupBy("user_id", "event_type").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    keys = ["user_id", "event_type"]
+    feeds.write_table(events.limit(0), folder, keys)
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    third = F.expr(f"least(2, 3 * (event_id - {low}) div greatest(1, {high} - {low}))")
+    for part in range(3):
+        events.where(third == part).write.mode("append").parquet(source)
+        feed = feeds.read_feed(spark, source, events.schema)
+        feeds.insert_batches(
+            feed, folder, f"{folder}-state", keys, lambda: [F.asc("event_id")]
+        ).awaitTermination()
+    return spark.read.parquet(folder).select(*keys, "event_id")
 
 
 @query

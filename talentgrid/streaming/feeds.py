@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from talentgrid.operators.keyed import insert_ignore
@@ -43,26 +44,43 @@ def company_counts(changes: DataFrame) -> DataFrame:
     )
 
 
-def first_seen(feed: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
-    """Drop repeats of a key that arrive within ``delay`` of its first row.
+def first_seen(feed: DataFrame, keys: Sequence[str], event_time: str | None = None,
+               delay: str | None = None) -> DataFrame:
+    """The first row of each key.
 
-    State is dropped once the watermark passes, so memory follows the delay.
+    Without a delay every key seen is remembered, so no row is lost however late it
+    comes, and state grows with the keys. With one, repeats within ``delay`` of the first
+    row go and state is dropped once the watermark passes: a key that comes again later
+    counts anew, and rows later than the watermark are lost.
     """
+    if delay is None:
+        return feed.dropDuplicates(list(keys))
     return feed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def write_latest(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Rewrite the full result per batch into ``folder/batch=N``; stops when caught up."""
+def write_changes(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the keys that a batch changed into ``folder/batch=N``; stops when caught up.
+
+    A batch run again overwrites its own folder. ``latest_counts`` reads the table.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return (
-        counts.writeStream.outputMode("complete").foreachBatch(save)
+        counts.writeStream.outputMode("update").foreachBatch(save)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def latest_counts(spark: SparkSession, folder: str, key: str = "company_slug") -> DataFrame:
+    """Of each key the row of the last batch that changed it."""
+    saved = spark.read.parquet(folder)
+    values = [c for c in saved.columns if c not in (key, "batch")]
+    last = saved.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(key, "_last.*")
+
+
 def append_rows(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return (
         rows.writeStream.outputMode("append").format("parquet").option("path", folder)
@@ -70,17 +88,32 @@ def append_rows(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_table(rows: DataFrame, folder: str, keys: Sequence[str], buckets: int = 64) -> None:
+    """Append rows to a table that is laid out by buckets of its keys."""
+    placed = rows.withColumn("_bucket", _bucket(keys, buckets))
+    placed.write.mode("append").partitionBy("_bucket").parquet(folder)
+
+
 def insert_batches(feed: DataFrame, folder: str, checkpoint: str, keys: Sequence[str],
-                   order: Callable[[], Sequence[Column]]) -> StreamingQuery:
+                   order: Callable[[], Sequence[Column]], buckets: int = 64) -> StreamingQuery:
     """Append each batch's new keys to the table in ``folder``; stored keys win.
 
-    A batch run again after a failure finds its rows stored and adds nothing.
+    The table comes from ``write_table``; a batch reads only the buckets its own keys
+    fall into. A batch run again after a failure finds its rows stored and adds nothing.
     """
 
     def save(batch: DataFrame, _: int) -> None:
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(folder)
-        fresh = insert_ignore(stored, batch, keys, order())
-        fresh.write.mode("append").parquet(folder)
+        spark = batch.sparkSession
+        touched = [
+            r[0] for r in batch.select(_bucket(keys, buckets)).distinct().collect()
+        ]  # at most ``buckets`` numbers
+        layout = T.StructType([*batch.schema.fields, T.StructField("_bucket", T.IntegerType())])
+        stored = spark.read.schema(layout).parquet(folder).where(F.col("_bucket").isin(touched))
+        write_table(insert_ignore(stored, batch, keys, order()), folder, keys, buckets)
 
     return (
         feed.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)

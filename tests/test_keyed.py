@@ -104,6 +104,13 @@ def test_salary_models_explain_residuals(spark):
     assert tree.count() == 60 and "residual" in tree.columns
 
 
+def test_model_premium_finds_a_planted_effect(spark):
+    data = [(i, 100.0 * (i % 2) + (i % 5), ["go", "sql"] if i % 2 else ["sql"], "remote") for i in range(200)]
+    fitted = spark.createDataFrame(data, "job_id int, residual double, skills array<string>, work_mode string")
+    (row,) = salaries.model_premium(fitted, "Go", ["work_mode"]).collect()
+    assert row["skill"] == "go" and abs(row["premium"] - 100) < 2
+
+
 def test_repeated_classifications_update_once(spark, rows):
     jobs = spark.createDataFrame([("a", "x"), ("b", "y")], "slug string, level string")
     classified = spark.createDataFrame([("a", "Senior"), ("a", "Lead"), ("a", None)], "slug string, level string")

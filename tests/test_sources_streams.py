@@ -104,17 +104,15 @@ def test_counts_stream_equals_batch(spark, tmp_path, rows):
     changes.repartition(3).write.parquet(source)
     feed = feeds.read_feed(spark, source, changes.schema, files_per_batch=1)
     out = str(tmp_path / "out")
-    feeds.write_latest(feeds.company_counts(feed), out, str(tmp_path / "state")).awaitTermination()
-    saved = spark.read.parquet(out)
-    last = saved.where(F.col("batch") == saved.agg(F.max("batch")).scalar()).drop("batch")
-    assert rows(last) == rows(feeds.company_counts(changes)) == [("a", 1, 1), ("b", 1, 0)]
+    feeds.write_changes(feeds.company_counts(feed), out, str(tmp_path / "state")).awaitTermination()
+    assert rows(feeds.latest_counts(spark, out)) == rows(feeds.company_counts(changes)) == [("a", 1, 1), ("b", 1, 0)]
 
 
 def test_insert_stream_keeps_stored_rows(spark, tmp_path, rows):
     events = spark.createDataFrame([(i, f"u{i % 4}") for i in range(40)], "event_id int, user string")
     source, table = str(tmp_path / "in"), str(tmp_path / "table")
     events.repartition(4).write.parquet(source)
-    spark.createDataFrame([(-1, "u0")], events.schema).write.parquet(table)
+    feeds.write_table(spark.createDataFrame([(-1, "u0")], events.schema), table, ["user"])
     for _ in range(2):
         feed = feeds.read_feed(spark, source, events.schema, files_per_batch=1)
         state = str(tmp_path / f"state{_}")
