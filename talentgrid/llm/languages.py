@@ -17,7 +17,7 @@ from talentgrid.llm.common import no_null
 #: n-grams of one to this many characters, each hashed to one of 2^SLOT_BITS slots.
 LONGEST, SLOT_BITS = 4, 17
 #: Bounds of the fit, whatever the corpus: rows it learns from, and landmarks among them.
-TRAINING_ROWS, LANDMARKS = 1536, 192
+TRAINING_ROWS, LANDMARKS = 1000, 192
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -146,19 +146,23 @@ def _slot_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, usable: Column, most: int = TRAINING_ROWS) -> list[tuple[str, np.ndarray]]:
-    """At most ``most`` rows, dealt over the languages in turn, in an order of hashed ids.
+    """At most ``most`` rows, dealt over the languages in turn, in an order of hashes.
 
     Each comes to the driver as 2^SLOT_BITS bits, so the bound holds for any texts.
     """
     named = docs.where(usable & F.col("lang").isNotNull()).select(
-        F.col("lang").cast("string").alias("lang"), no_null().alias("text"),
-        F.xxhash64(F.col("doc_id").cast("string"), F.lit("landmark")).alias("order"),
+        F.col("lang").cast("string").alias("lang"), no_null().alias("text"), "doc_id"
     ).where(F.col("text").rlike("\\p{L}"))
+    named = named.withColumn("order", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    # Chosen by narrow rows, of which each task keeps the first of a language; only the
+    # chosen ones meet their texts.
     each = Window.partitionBy("lang").orderBy("order")
-    turns = named.withColumn("turn", F.row_number().over(each)).where(F.col("turn") <= most)
-    chosen = turns.orderBy("turn", "lang").limit(most).select(
-        "lang", "text", F.struct("turn", "lang").alias("__order")
-    ).withColumn("place", F.row_number().over(Window.orderBy("__order"))).select("lang", "text", "place")
+    turns = named.select("lang", "order").distinct().withColumn("turn", F.row_number().over(each))
+    chosen = turns.where(F.col("turn") <= most).orderBy("turn", "lang").limit(most)
+    placed = chosen.withColumn("place", F.row_number().over(Window.orderBy("turn", "lang")))
+    # ``most`` rows at most; repeated rows count once.
+    texts = named.join(F.broadcast(placed), ["lang", "order"]).dropDuplicates(["lang", "order"])
+    chosen = texts.select("lang", "text", "place")
     packed = chosen.mapInArrow(_slot_sets, "lang string, place int, slots binary").collect()
     found = sorted(packed, key=lambda r: r["place"])
     rows = [
