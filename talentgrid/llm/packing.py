@@ -76,23 +76,22 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moves = projection()
-        end = np.array([END_ID], "<u4")
+        end = np.array([END_ID], "<u2")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for start, stop in tokens.blocks(texts):
-                ids = [
-                    np.concatenate([x, end]) for x in tokens.token_ids(texts[start:stop], path)
-                ]
-                means = np.stack([moves[x].mean(axis=0) for x in ids])
-                if max(int(x.max()) for x in ids) >= 1 << 16:
+                found = tokens.token_ids(texts[start:stop], path)
+                if found[0].dtype.itemsize > 2:
                     raise ValueError("stored ids are 16 bits wide; the vocabulary has more")
+                ids = [np.concatenate([x, end]) for x in found]
+                means = np.stack([moves.take(x, axis=0).sum(axis=0) / len(x) for x in ids])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, stop - start),
                         batch.column("row").slice(start, stop - start),
                         pa.array(hilbert_keys(coordinates(means))),
                         pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()),
+                        pa.array([x.tobytes() for x in ids], pa.binary()),
                     ],
                     ["doc_id", "row", "curve", "doc_tokens", "ids"],
                 )

@@ -6,15 +6,18 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 
 #: Pieces a worker remembers before it starts anew; bounds memory, changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 #: A single blank between two characters that aren't white space.
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than the blank and the line feed.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def tokenizer_file(name: str) -> str:
@@ -47,17 +50,6 @@ def words_apart(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def words_with_blank(text: str) -> list[str]:
-    """Pieces for a byte-level vocabulary that keeps white space.
-
-    Such a vocabulary joins one blank to the word behind it and never merges across, so
-    a text may be cut before a blank between two visible characters, and only there:
-    longer runs of white space stay inside one piece.
-    """
-    first, *rest = _INNER_BLANK.split(text)
-    return [first, *[" " + x for x in rest]]
-
-
 class PieceCache:
     """What the tokenizer gives for each piece seen so far, after ``shape``."""
 
@@ -79,30 +71,90 @@ class PieceCache:
         return cut
 
 
-def _ids(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").tobytes()
-
-
 @lru_cache(maxsize=4)
-def _cache(path: str, kind: str) -> PieceCache:
-    if kind == "count":
-        return PieceCache(path, words_apart, len)
-    return PieceCache(path, words_with_blank, _ids)
+def _counts(path: str) -> PieceCache:
+    return PieceCache(path, words_apart, len)
 
 
 def count_tokens(texts: list[str], path: str) -> list[int]:
     """Token counts for a vocabulary that drops white space."""
-    cache = _cache(path, "count")
+    cache = _counts(path)
     return [sum(map(cache.known.__getitem__, pieces)) for pieces in cache.pieces(texts)]
 
 
+class ByteIds:
+    """Token ids for a byte-level vocabulary that keeps white space.
+
+    Such a vocabulary joins one blank to the word behind it and never merges across, so a
+    text may be cut before a blank between two visible characters, and only there:
+    longer runs of white space stay inside one piece. ``rest`` has the ids of pieces
+    with that blank in front, ``first`` those of the pieces that begin a text.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values()) + 1
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        #: Bytes of text that an id stands for: one for each character of its name.
+        self.bytes = np.zeros(size, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token.encode()) if token in added else len(token)
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        if "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
+            return _INNER_BLANK.split(text)
+        return text.split(" ")
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(e.ids, self.type).tobytes() for e in encoded]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of many pieces from one text of them all, divided by the bytes they cover."""
+        ids = np.array(
+            self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, self.type
+        )
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1)
+        covered = np.cumsum(self.bytes[ids])
+        stops = np.searchsorted(covered, ends) + 1
+        if stops[-1] != len(ids) or not (covered[stops - 1] == ends).all():
+            self.rest.update(zip(pieces, self._each([" " + p for p in pieces])))
+            return
+        stored, width = ids.tobytes(), self.type.itemsize
+        bounds = [0, *(stops * width).tolist()]
+        self.rest.update(zip(pieces, map(stored.__getitem__, map(slice, bounds[:-1], bounds[1:]))))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.cut(t) for t in texts]
+        heads = [pieces[0] for pieces in cut]
+        tails = [pieces[1:] for pieces in cut]
+        for known in (self.first, self.rest):
+            if len(known) > REMEMBERED:
+                known.clear()
+        new = list(set(heads).difference(self.first))
+        self.first.update(zip(new, self._each(new)))
+        missing = list(set(chain.from_iterable(tails)).difference(self.rest))
+        for start in range(0, len(missing), 16_384):
+            self._learn(missing[start : start + 16_384])
+        known = self.rest.__getitem__
+        return [
+            np.frombuffer(self.first[head] + b"".join(map(known, tail)), self.type)
+            for head, tail in zip(heads, tails)
+        ]
+
+
+@lru_cache(maxsize=4)
+def _byte_ids(path: str) -> ByteIds:
+    return ByteIds(path)
+
+
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Token ids (unsigned 32-bit) for a byte-level vocabulary."""
-    cache = _cache(path, "ids")
-    known = cache.known.__getitem__
-    return [
-        np.frombuffer(b"".join(map(known, pieces)), "<u4") for pieces in cache.pieces(texts)
-    ]
+    """Token ids for a byte-level vocabulary, 16 bits wide where they all fit, else 32."""
+    return _byte_ids(path).ids(texts)
 
 
 def blocks(texts: list[str], most: int = 2_000_000) -> Iterable[tuple[int, int]]:

@@ -29,6 +29,8 @@ def test_pieces_give_what_whole_texts_give():
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     cache = tokens.PieceCache(tokens.tokenizer_file(WORDS), tokens.words_apart, len)
+    for texts in (["a b c d e f"], ["g h i"], ["a b z", " a  b\n"]):
+        assert [x.tolist() for x in tokens.ByteIds(tokens.tokenizer_file(BYTES)).ids(texts)] == whole(BYTES, texts)
     for text in ["a b c d e f", "g h i", "a b z"]:
         (pieces,) = cache.pieces([text])
         assert sum(map(cache.known.__getitem__, pieces)) == len(whole(WORDS, [text])[0])
