@@ -227,9 +227,12 @@ def quality_model(voted: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFr
 
 
 def _judged(voted: DataFrame, model: DataFrame) -> DataFrame:
-    # 3 to the number of rules rows at most.
+    # 3 to the number of rules rows at most. The verdict is one expression over both
+    # sides: as two conditions, the base rule's would be pushed below the join and count
+    # every text once more.
     return voted.join(F.broadcast(model), "votes").withColumn(
-        "kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)
+        "kept",
+        F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("posterior") >= 0.5),
     )
 
 
