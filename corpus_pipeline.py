@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from talentgrid.llm import mixing, neardup, packing, pii, quality, queries, tokens
 from talentgrid.session import settle
 
+#: The share of all tokens that mixing keeps in expectation.
+KEPT_SHARE = 0.5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -28,8 +31,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled by calibrated probabilities."""
-    return mixing.sample_mix(docs)
+    """Documents are sampled by calibrated probabilities, to half of the tokens."""
+    return mixing.sample_mix(docs, share=KEPT_SHARE)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,14 @@
 import random
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 from talentgrid.llm import mixing
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+
 
 def raked(cells, targets, sweeps):
     """Cells {(a, b, c): tokens} fitted in plain loops."""
@@ -60,3 +66,34 @@ def test_messy_rows(messy, messy_wide, nothing):
     ids = sorted((r.doc_id for r in stage.collect()), key=str)
     assert ids == sorted((r.doc_id for r in messy.collect() if (r.doc_id, True) in kept), key=str)
     assert mixing.mix(nothing).collect() == [] and mixing.sample_mix(nothing).collect() == []
+
+
+def test_one_rare_document_does_not_set_the_sample(spark):
+    draw = random.Random(7)
+    rows = [(i, "word%d " % draw.randint(0, 50) * draw.randint(1, 40), draw.choice(["en", "fr"]), draw.choice("aab"))
+            for i in range(3000)]
+    schema = "doc_id long, text string, lang string, source string"
+
+    def kept(more):
+        found = mixing.mix(spark.createDataFrame(rows + more, schema), sweeps=2, share=0.5).collect()
+        assert len(found) == len(rows) + len(more) and all(0 <= r.probability <= 1 for r in found)
+        return sum(r.n_tokens * r.kept for r in found) / sum(r.n_tokens for r in found)
+
+    rare = [[(9001, None, "en", "new")], [(9001, "rare " * 200, None, "a")]]
+    assert all(abs(kept(more) - 0.5) < 0.03 for more in rare)
+    docs = spark.createDataFrame(rows + rare[0], schema)
+    margins = mixing.achieved_margins(docs, sweeps=2, share=0.5).collect()
+    for m in mixing.MARGINS:
+        some = [r for r in margins if r.margin == m]
+        assert abs(sum(r.kept_tokens for r in some) - 0.5 * sum(r.tokens for r in some)) < 1e-6 * sum(r.tokens for r in some)
+        assert abs(sum(r.kept_share for r in some) - 1) < 1e-9
+    by = {r.value: r for r in margins if r.margin == "source"}
+    assert abs(by["=a"].kept_share - by["=a"].wanted_share) < 0.03
+    assert mixing.mix(docs, sweeps=2, share=1.0).where("probability < 1").count() == 0
+
+
+def test_the_pipeline_keeps_its_share_beside_a_rare_source(spark):
+    rows = [(i, f"word{i % 50} " * 20, "en", "ab"[i % 2]) for i in range(2000)] + [(9001, None, "en", "new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    n = dict(corpus_pipeline.STAGES)["source mixing"](spark, docs, "").count()
+    assert abs(n / len(rows) - corpus_pipeline.KEPT_SHARE) < 0.05
