@@ -16,11 +16,11 @@ from talentgrid.llm.common import no_null, partitions
 from talentgrid.session import settle
 
 BITS = 256
-#: Fingerprints at most this many bits apart are near; one block more than that suffices
-#: for two near fingerprints to agree on a whole block.
-RADIUS = 7
-#: Fingerprints of a shared block that are compared with one another at a time.
-BLOCK = 1024
+#: Fingerprints at most this many bits apart are near. The README has the
+#: distances of texts with replaced words; 31 is the most that 16 blocks of two bytes find with one bit probed.
+RADIUS = 31
+#: Fingerprints of a shared byte that are compared with one another at a time.
+BLOCK = 4096
 
 _WORDS = BITS // 64
 _MIX = np.random.default_rng(41).integers(1, 2**63, _WORDS + 2, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,39 +164,48 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return ordered.select("bucket", "extra", "doc_id", "text").mapInArrow(_signer, SIGNED)
 
 
-def _compare(radius: int, blocks: int):
-    """For two lists of fingerprints: how many documents of the second are near each of the first."""
-    width = BITS // blocks
+def _compare(radius: int):
+    """For the fingerprints of a cell: how many documents of it are near each of them.
 
-    def block_of(marks: np.ndarray, table: int) -> np.ndarray:
-        start = table * width
-        word, rest = divmod(start, 64)
-        return (marks[..., word] >> np.uint64(64 - rest - width)) & np.uint64((1 << width) - 1)
-
-    def unpacked(column) -> np.ndarray:
-        joined = b"".join(column.values.to_pylist())
-        return np.frombuffer(joined, ">u8").astype(np.uint64).reshape(-1, _WORDS)
+    A cell holds one or two lists of fingerprints with a byte in common. Only pairs whose
+    sibling byte (of the same block of two) differs in at most one bit are measured.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                table = one.column("table")[0].as_py()
-                left, right = unpacked(one.column("marks_a")[0]), unpacked(one.column("marks_b")[0])
-                times = one.column("times_b")[0].values.to_numpy()
-                near = np.zeros(len(left), np.int64)
-                for start in range(0, len(left), 128):
-                    apart = left[start : start + 128, None, :] ^ right[None, :, :]
-                    distance = np.bitwise_count(apart).sum(axis=2)
+                place = batch.column("place")[i].as_py()
+                rows = batch.column("rows")[i].values
+                joined = b"".join(rows.field("mark").to_pylist())
+                bytes_ = np.frombuffer(joined, np.uint8).reshape(-1, BITS // 8)
+                marks = bytes_.view(">u8").astype(np.uint64)
+                times = rows.field("times").to_numpy()
+                side = rows.field("side").to_numpy()
+                sibling = np.ascontiguousarray(bytes_[:, place ^ 1])
+                near = np.zeros(len(marks), np.int64)
+                # Rows of one list in a cell of two meet in that list's own cell.
+                lists = [np.flatnonzero(side == k) for k in np.unique(side)]
+                left, right = (lists[0], lists[-1])
+                for start in range(0, len(left), 256):
+                    some = left[start : start + 256]
+                    close = np.bitwise_count(sibling[some, None] ^ sibling[None, right]) <= 1
+                    x, y = np.nonzero(close)
+                    x, y = some[x], right[y]
+                    distance = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
                     hit = (distance <= radius) & (distance > 0)
-                    # A pair that an earlier table has found already counts there.
-                    for earlier in range(table):
-                        hit &= block_of(apart, earlier) != 0
-                    near[start : start + 128] = hit @ times
-                some = np.flatnonzero(near)
-                marks = [left[j].astype(">u8").tobytes() for j in some]
+                    x, y = x[hit], y[hit]
+                    # A pair counts in the first place that finds it.
+                    off = np.bitwise_count(bytes_[x] ^ bytes_[y])
+                    swapped = off.reshape(-1, BITS // 16, 2)[:, :, ::-1].reshape(off.shape)
+                    first = ((off == 0) & (swapped <= 1)).argmax(axis=1) == place
+                    x, y = x[first], y[first]
+                    near += np.bincount(x, times[y], len(marks)).astype(np.int64)
+                    if len(lists) == 2:
+                        near += np.bincount(y, times[x], len(marks)).astype(np.int64)
+                found = np.flatnonzero(near)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(marks, pa.binary()), pa.array(near[some])], ["mark", "near"]
+                    [pa.array([bytes_[j].tobytes() for j in found], pa.binary()), pa.array(near[found])],
+                    ["mark", "near"],
                 )
 
     return compare
@@ -206,51 +215,52 @@ def near_counts(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fingerprint, n_near): other rows with a fingerprint at most ``radius`` bits away.
 
     ``fingerprints`` has one row per document. Equal fingerprints are counted as one first.
-    There are as many permuted tables as it takes for two near fingerprints to agree on
-    the leading block of at least one. Fingerprints that share a block are cut into lists
-    of about a thousand, and lists are compared pairwise: exact for a block shared by any
-    number, while rows stay as many as fingerprints times lists.
+    Of 16 blocks of two bytes at least one differs in at most ``radius`` // 16 bits; for
+    1 or 0, one of its bytes is equal and the other at most a bit off. So fingerprints
+    are dealt by each of their 32 bytes, and the other byte is probed in the task. What
+    shares a byte is cut into lists of about ``BLOCK``, and each pair of lists meets in a
+    cell of its own: exact for a byte shared by any number.
     """
-    blocks = next(b for b in (1, 2, 4, 8, 16, 32) if b > radius)
-    width = BITS // blocks
+    if not 0 <= radius < BITS // 8:
+        raise ValueError(f"radius must be in 0..{BITS // 8 - 1}")
     distinct = fingerprints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("times"))
-    # 64 hex digits; a block of ``width`` bits is width / 4 of them.
     marked = settle(
-        distinct.select("fingerprint", "times", F.xxhash64("fingerprint").alias("id")), "marks"
+        distinct.select(F.unhex("fingerprint").alias("mark"), "times", F.xxhash64("fingerprint").alias("id")),
+        "marks",
     )
-    digits = width // 4
-    tables = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks - 1)),
-        lambda t: F.struct(
-            t.alias("table"),
-            F.substring(F.col("fingerprint"), t * digits + 1, F.lit(digits)).alias("block"),
-        ),
+    places = F.transform(
+        F.sequence(F.lit(0), F.lit(BITS // 8 - 1)),
+        lambda t: F.struct(t.alias("place"), F.substring("mark", t + 1, F.lit(1)).alias("byte")),
     )
-    keys = marked.select("id", F.inline(tables)).select(
-        "id", "table", F.xxhash64("table", "block").alias("key")
+    keys = marked.select("mark", "times", "id", F.inline(places))
+    # One row per place and byte: 8,192 at most.
+    sizes = keys.groupBy("place", "byte").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lists")
     )
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    listed = (
-        keys.join(shared, "key").join(marked, "id")
-        .withColumn("list", F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("rows") / BLOCK)))
-        .groupBy("table", "key", "list")
-        .agg(
-            F.collect_list(F.unhex("fingerprint")).alias("marks"),
-            F.collect_list("times").alias("times"),
-        )
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("lists")).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("lists") - 1),
+        lambda other: F.struct(
+            F.least("own", other).alias("low"), F.greatest("own", other).alias("high")
+        ),
     )
-    lists = settle(listed, "lists")
-    pairs = lists.select("table", "key", F.col("marks").alias("marks_a")).join(
-        lists.select("key", F.col("marks").alias("marks_b"), F.col("times").alias("times_b")), "key"
+    dealt = (
+        keys.join(F.broadcast(sizes), ["place", "byte"]).withColumn("own", own)
+        .select("place", "byte", "own", "mark", "times", F.inline(cells))
+        .groupBy("place", "byte", "low", "high")
+        .agg(F.collect_list(F.struct("mark", "times", F.col("own").alias("side"))).alias("rows"))
     )
-    found = pairs.select("table", "marks_a", "marks_b", "times_b").mapInArrow(
-        _compare(radius, blocks), "mark binary, near long"
+    # A cell of two lists where one has no row has no pair of its own.
+    whole = (F.col("low") == F.col("high")) | (
+        F.size(F.array_distinct(F.transform("rows", lambda r: r["side"]))) == 2
     )
-    others = found.groupBy("mark").agg(F.sum("near").alias("near")).select(
-        F.lower(F.hex("mark")).alias("fingerprint"), "near"
+    found = dealt.where(whole).select("place", "rows").mapInArrow(
+        _compare(radius), "mark binary, near long"
     )
-    return marked.join(others, "fingerprint", "left").select(
-        "fingerprint", (F.col("times") - 1 + F.coalesce("near", F.lit(0))).alias("n_near")
+    others = found.groupBy("mark").agg(F.sum("near").alias("near"))
+    return marked.join(others, "mark", "left").select(
+        F.lower(F.hex("mark")).alias("fingerprint"),
+        (F.col("times") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"),
     )
 
 

@@ -70,3 +70,39 @@ def test_likeness_follows_the_edit():
     a, b, c = map(fp.simhash, (text, edited, other))
     assert fp.likeness(a, c) + 0.08 < fp.likeness(a, b) < 1
     assert fp.likeness(a, fp.simhash(text)) == 1
+
+
+def test_replaced_words_stay_near(spark):
+    """One to three replaced words at 100 to 400 words: pairs are found, and as in a loop."""
+    draw = np.random.default_rng(11)
+    texts = []
+    for n in (100, 200, 400):
+        for changes in (1, 2, 3) * 5:
+            words = [f"w{x}" for x in draw.integers(0, 5000, n)]
+            other = list(words)
+            for at in draw.choice(n, changes, replace=False):
+                other[at] = f"new{draw.integers(10**6)}"
+            texts += [" ".join(words), " ".join(other)]
+    marks = np.stack([fp.simhash(t) for t in texts])
+    apart = np.bitwise_count(marks[:, None] ^ marks[None]).sum(axis=2)
+    table = spark.createDataFrame([(m.astype(">u8").tobytes().hex(),) for m in marks], "fingerprint string")
+    found = {r.fingerprint: r.n_near for r in fp.near_counts(table).collect()}
+    got = [found[m.astype(">u8").tobytes().hex()] for m in marks]
+    assert got == ((apart <= fp.RADIUS).sum(axis=1) - 1).tolist()
+    assert sum(n > 0 for n in got) >= 0.95 * len(got)
+
+
+def test_lists_of_a_shared_byte_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK", 16)
+    draw = np.random.default_rng(12)
+    base = np.unpackbits(draw.integers(0, 256, 32, np.uint8))
+    marks = []
+    for _ in range(150):
+        bits = base.copy()
+        bits[draw.choice(256, draw.integers(0, 33), replace=False)] ^= 1
+        marks += [np.packbits(bits)] * int(draw.integers(1, 3))
+    whole = np.stack(marks)
+    near = (np.bitwise_count(whole[:, None] ^ whole[None]).sum(axis=2) <= fp.RADIUS).sum(axis=1) - 1
+    table = spark.createDataFrame([(m.tobytes().hex(),) for m in marks], "fingerprint string")
+    found = {r.fingerprint: r.n_near for r in fp.near_counts(table).collect()}
+    assert [found[m.tobytes().hex()] for m in marks] == near.tolist()
