@@ -27,18 +27,38 @@ _CANDIDATES = re.compile(
     (?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
-    |(?P<secret>(?<![A-Za-z0-9_])(?:[Pp]assword|passwd|pwd|[Tt]oken|[Ss]ecret|api[_\-]?key)[ ]?[=:][ ]?["']?
+    |(?P<secret>(?i:password|passwd|pwd|token|secret|api[_\-]?key)
+        (?:[_\-.][A-Za-z0-9_\-.]{1,40}|[A-Z][A-Za-z0-9]{0,40})?(?:\\?["'])?[ ]?[=:][ ]?(?:\\?["'])?
         (?P<value>[A-Za-z0-9_\-/+]{8,512}))
     |(?P<date>(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}
         |[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./\-][0-9]))
     |(?P<address>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
-    |(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9]))
+    |(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])
+        |(?<![0-9+])\+[1-9](?:[ .\-]?\([0-9]{1,5}\)|[ .\-]?[0-9]{1,14}){1,8}(?![0-9])
+        |(?<![A-Za-z0-9+.\-_/])[2-9][0-9]{2}[2-9][0-9]{6}(?![A-Za-z0-9_]|[.\-/][0-9]))
     |(?P<social>(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-]))
     |(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}
         |[0-9]{4}(?P<gap2>[ \-])[0-9]{6}(?P=gap2)[0-9]{5})(?![0-9]))
     """,
     re.VERBOSE,
 )
+#: Registered lengths of account numbers by country.
+IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FO,FI,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV "
+        "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL,OM,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+        "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA "
+        "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for country in countries.split(",")
+}
+#: Digits behind + at most, by country code, where they are few; elsewhere 15 in all.
+PHONE_DIGITS = {
+    "1": 11, "7": 11, "20": 12, "27": 11, "30": 12, "31": 11, "32": 11, "33": 11, "34": 11, "36": 11,
+    "39": 13, "40": 11, "41": 11, "44": 12, "45": 10, "46": 11, "47": 10, "48": 11, "49": 13, "52": 12,
+    "55": 13, "61": 11, "81": 12, "82": 12, "86": 13, "90": 12, "91": 12, "351": 12, "353": 12, "358": 12,
+}
 #: A text with none of these has no candidate.
 _NEEDED = re.compile(r"[0-9@=:]")
 
@@ -127,12 +147,48 @@ def _card(text: str, p: Pseudonyms) -> str | None:
     return _refill(text, head + luhn_digit(head))
 
 
+_TWICE = re.compile(r"[ .\-]?\(0\)")
+
+
+def _code(digits: str) -> str:
+    """The country code in front; three digits where it is not listed."""
+    return next((digits[:n] for n in (1, 2, 3) if digits[:n] in PHONE_DIGITS), digits[:3])
+
+
 def _phone(text: str, p: Pseudonyms) -> str | None:
-    digits = _only(text)
-    country, national = digits[:-10], digits[-10:]
-    strict = national[0] in "23456789" and national[3] in "23456789"
-    fits = (lambda x: x[0] in "23456789" and x[3] in "23456789") if strict else None
-    return _refill(text, country + p.digits(national, f"phone{country}{strict}", fits))
+    trunk = _TWICE.search(text)
+    plain = text if trunk is None else text[: trunk.start()] + text[trunk.end() :]
+    digits = _only(plain)
+    size = 10
+    if text[0] == "+" and _code(digits) != "1":
+        if not 8 <= len(digits) <= 15:
+            return None
+        size = len(digits) - len(_code(digits))
+    elif len(digits) < 10 or (text[0] == "+" and len(digits) > 13):
+        return None
+    country, national = digits[:-size], digits[-size:]
+    if size == 10 and country in ("", "1"):
+        strict = national[0] in "23456789" and national[3] in "23456789"
+        fits = (lambda x: x[0] in "23456789" and x[3] in "23456789") if strict else None
+    else:
+        strict = national[0] != "0"
+        fits = (lambda x: x[0] != "0") if strict else None
+    moved = _refill(plain, country + p.digits(national, f"phone{country}{strict}", fits))
+    return moved if trunk is None else moved[: trunk.start()] + trunk.group() + moved[trunk.start() :]
+
+
+def _ends(kind: str, text: str) -> Iterator[int]:
+    """Where a candidate may end, longest first: before words that merely follow it."""
+    ends = [len(text), *(m.start() for m in reversed(list(re.finditer(r"[ .\-]", text))))]
+    if kind == "iban":
+        size = IBAN_LENGTHS.get(text[:2])
+        fits = lambda part: size is None or len(part.replace(" ", "")) == size
+    elif kind == "phone" and text[0] == "+":
+        most = PHONE_DIGITS.get(_code(_only(text)), 15)
+        fits = lambda part: len(_only(_TWICE.sub("", part))) <= most
+    else:
+        ends, fits = ends[:1], lambda part: True
+    return (end for end in ends if fits(text[:end]))
 
 
 def _address(text: str, p: Pseudonyms) -> str | None:
@@ -230,18 +286,24 @@ def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     out: list[str] = []
     spans: list[tuple[str, int, int]] = []
     done = length = 0
-    for found in _CANDIDATES.finditer(text):
+    at = 0
+    while found := _CANDIDATES.search(text, at):
         kind = next(k for k in _KINDS if found.group(k) is not None)
-        group = "value" if kind == "secret" else kind
-        start, end = found.span(group)
-        new = of(kind, found.group(group))
-        if new is None:
+        start, end = found.span("value" if kind == "secret" else kind)
+        for cut in _ends(kind, text[start:end]):
+            new = of(kind, text[start : start + cut])
+            if new is not None:
+                break
+        else:
+            # Another value may begin inside what failed.
+            at = found.start() + 1
             continue
+        at = start + cut
         out += [text[done:start], new]
         length += start - done
         spans.append((kind, length, len(new)))
         length += len(new)
-        done = end
+        done = at
     if not spans:
         return text, []
     out.append(text[done:])

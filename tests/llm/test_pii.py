@@ -99,3 +99,19 @@ def test_messy_rows(messy, messy_wide, nothing):
     assert stage.where("doc_id = 1").first() == messy_wide.where("doc_id = 1").first()
     assert pii.pseudonymize_documents(nothing, KEY).collect() == []
     assert pii.with_pseudonyms(nothing, KEY).collect() == []
+
+
+@pytest.mark.parametrize("kind, before, value, after", [
+    ("iban", "to ", "ES9121000418450200051332", " 12"), ("iban", "to ", "ES9121000418450200051332", " 2024"),
+    ("iban", "to ", "ES91 2100 0418 4502 0005 1332", " AND MORE"), ("iban", "to ", "SE4550000000058398257466", " EUR"),
+    ("phone", "call ", "+14155550123", " now"), ("phone", "call ", "4155550123", "."),
+    ("phone", "call ", "+44 20 7946 0958", " 2024"), ("phone", "call ", "+49 30 12345678", ", or"),
+    ("phone", "call ", "+1 415 555 0123", " 12"), ("phone", "call ", "+44 (0)20 7946 0958", ""),
+    ("secret", "PASSWORD=", "b7db7aa4a5fcc78305", ""), ("secret", "API_KEY=", "b7db7aa4a5fcc78305", " x"),
+    ("secret", "AWS_SECRET_ACCESS_KEY=", "b7db7aa4a5fcc78305", ""), ("secret", '{"password": "', "b7db7aa4a5fcc78305", '"}'),
+])
+def test_values_among_other_words(kind, before, value, after):
+    new, spans = pii.pseudonymize(before + value + after, KEY)
+    assert [(s[0], s[1], s[2]) for s in spans] == [(kind, len(before), len(value))]
+    assert value not in new and new.startswith(before) and new.endswith(after)
+    assert pii.pseudonymize(new, KEY)[1] == spans
