@@ -96,4 +96,75 @@ def mixing_sql() -> str:
         FROM weighed w JOIN cells USING (source, lang, topic)"""
 
 
-LLM_ORACLE = {"op7_mixing": mixing_sql(), "op8_quality_rules": quality_sql()}
+_SOUND = (
+    "embedding IS NOT NULL AND len(embedding) > 0 "
+    "AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+)
+
+
+def _floored(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE)))"
+
+
+def negatives_sql() -> str:
+    """All scores of the anchors by inner products of whole numbers, then ranks."""
+    return f"""
+        WITH rows_ AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                {_floored(256)} AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_SOUND}),
+        scored AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+                CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM rows_ a JOIN rows_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY rank <= 3"""
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds unrolled: every part against every entry, as whole numbers in doubles."""
+    steps = [
+        f"""rows_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r,
+            vec_id, label, {_floored(4096)} AS v FROM embeddings WHERE {_SOUND})""",
+        f"""parts AS MATERIALIZED (SELECT r, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS x
+            FROM rows_, range({parts}) AS t(p))""",
+        f"book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts JOIN rows_ USING (r) "
+        f"WHERE r <= {entries} AND vec_id IS NOT NULL)",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""given{k} AS MATERIALIZED (SELECT r, p, e, d, x FROM (SELECT r, p, e, x, list_inner_product(x, x)
+            - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM parts JOIN book{k} USING (p))
+            QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, e) = 1)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN (
+                SELECT p, e, list(floor(s / n) ORDER BY i) AS c FROM (SELECT p, e, i, sum(x[i]) AS s, count(*) AS n
+                FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM given{k}) GROUP BY p, e, i) GROUP BY p, e) m
+                USING (p, e))"""
+            )
+    steps += [
+        f"""coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code,
+            CAST(sum(d) AS BIGINT) AS error FROM given{rounds} GROUP BY r)""",
+        f"""said AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS h
+            FROM (SELECT p, e, c, unnest(range(1, len(c) + 1)) AS i FROM book{rounds}))""",
+    ]
+    return f"""WITH {", ".join(steps)} SELECT vec_id, code, error,
+        CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+        FROM coded JOIN rows_ USING (r), said"""
+
+
+LLM_ORACLE = {
+    "op7_mixing": mixing_sql(),
+    "op8_quality_rules": quality_sql(),
+    "op11_hard_negatives": negatives_sql(),
+    "op13_vector_codes": codes_sql(),
+}

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.llm import (
-    chat, fingerprints, languages, mixing, neardup, packing, pii, quality, sharding, token_counts,
-    tokens,
+    chat, covercodes, fingerprints, languages, mixing, neardup, negatives, neighbours, packing, pii,
+    quality, sharding, token_counts, tokens,
 )
 from talentgrid.llm.oracle import LLM_ORACLE  # noqa: F401  registered with the queries
 from talentgrid.session import shared_folder
@@ -43,6 +43,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 @query
 def op2_sharding(spark, sf_dir):
     rows = sharding.shard_rows(documents(spark, sf_dir), 16)
@@ -118,3 +122,21 @@ def op7_mixing(spark, sf_dir):
 def op9_pseudonyms(spark, sf_dir):
     done = pii.pseudonymize_documents(documents(spark, sf_dir), PII_KEY)
     return done.select("doc_id", "text", F.size("spans").alias("n_found"), "spans")
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """Rows whose id seven divides get the next label first, which makes some neighbours negatives."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = embeddings(spark, sf_dir).withColumn("label", moved)
+    return negatives.hard_negatives(rows, "vec_id % 50 = 0")
+
+
+@query
+def op12_nearest(spark, sf_dir):
+    return neighbours.nearest(embeddings(spark, sf_dir), "vec_id % 20 = 0")
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    return covercodes.compress(embeddings(spark, sf_dir))

@@ -57,3 +57,54 @@ def messy_wide(spark):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+VECTOR_CLASHING = (
+    "rank string, block string, chunk string, planes string, codes string, code string, "
+    "error string, query string, score string, dims string, row string, other string"
+)
+
+
+def messy_vectors(n=400, dims=16, seed=3):
+    """Sound rows: clusters, a vector that a third of all rows hold, ties; then unsound ones."""
+    draw = random.Random(seed)
+    centres = [[draw.gauss(0, 1) for _ in range(dims)] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        if i % 3 == 0:
+            v = centres[0]
+        else:
+            v = [x + draw.gauss(0, 0.4) for x in centres[draw.randrange(12)]]
+        norm = sum(x * x for x in v) ** 0.5
+        rows.append((i - 20, [x / norm for x in v], draw.choice([0, 1, 2, 3])))
+    nan, inf, some = float("nan"), float("inf"), rows[1][1]
+    unsound = [
+        (1000, None, 1), (1050, [], 1), (1100, [None] + some[1:], 2), (1150, [nan] + some[1:], 2),
+        (1200, [inf] + some[1:], 3), (1250, some[1:] + [-inf], 3),
+    ]
+    return rows, unsound
+
+
+@pytest.fixture(scope="session")
+def sound_rows():
+    return messy_vectors()[0]
+
+
+@pytest.fixture(scope="session")
+def vectors(spark):
+    sound, unsound = messy_vectors()
+    return spark.createDataFrame(sound + unsound, VECTORS).repartition(5)
+
+
+@pytest.fixture(scope="session")
+def vectors_wide(spark):
+    names = [c.split()[0] for c in VECTOR_CLASHING.split(", ")]
+    sound, unsound = messy_vectors()
+    rows = [(*r, *names) for r in sound + unsound]
+    return spark.createDataFrame(rows, f"{VECTORS}, {VECTOR_CLASHING}").repartition(3)
+
+
+@pytest.fixture(scope="session")
+def no_vectors(spark):
+    return spark.createDataFrame([], VECTORS)

@@ -11,7 +11,8 @@ from talentgrid.llm.queries import LLM_ORACLE, LLM_QUERIES
 
 def duck(sf_dir):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     return con
 
 
@@ -27,9 +28,9 @@ def test_same_rows(spark, name, sf):
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == want and want
 
 
-def test_ten_queries_each_named_once():
+def test_queries_each_named_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_documents_queries_return_each_document(spark):
