@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
 from talentgrid.operators.keyed import level_rank, require_columns, top_per_group
-from talentgrid.operators.postings import DIMENSIONS, expand_skills, jobs_seen
+from talentgrid.operators.postings import DIMENSIONS, expand_skills
 
 
 def group_skill_counts(postings: DataFrame, group: str) -> DataFrame:
-    """(group, skill): distinct jobs naming the skill, and jobs led by the row's skill."""
+    """(group, skill): distinct jobs naming the skill."""
     require_columns(postings, group)
     return expand_skills(postings.dropna(subset=[group]), group).groupBy(group, "skill").agg(
-        F.count(F.lit(1)).alias("mentions"), jobs_seen().alias("_jobs")
+        F.count(F.lit(1)).alias("mentions")
     )
 
 
-def with_group_totals(counts: DataFrame, group: str) -> DataFrame:
-    """Counts with the group's distinct jobs and the share of them.
+def group_totals(postings: DataFrame, group: str) -> DataFrame:
+    """Jobs with a skill in each group: postings are counted, nothing is exploded."""
+    return postings.where(F.col(group).isNotNull() & (F.size("skills") > 0)).groupBy(group).agg(
+        F.count(F.lit(1)).alias("total_jobs")
+    )
+
+
+def with_group_totals(postings: DataFrame, group: str) -> DataFrame:
+    """(group, skill) counts with the group's distinct jobs and the share of them.
 
     Totals are summed on the map side and joined back, so a group with very many skills
     never meets in one task.
     """
-    totals = counts.groupBy(group).agg(F.sum("_jobs").alias("total_jobs"))
-    return counts.join(totals, group).select(
+    counts = group_skill_counts(postings, group)
+    return counts.join(group_totals(postings, group), group).select(
         group, "skill", "mentions", "total_jobs",
         (F.col("mentions") / F.col("total_jobs") * 100).alias("prevalence"),
     )
@@ -38,11 +45,10 @@ def skills_by_group(postings: DataFrame, group: str, top_n: int = 15) -> DataFra
     group before the shuffle; only those meet the totals.
     """
     counts = group_skill_counts(postings, group)
-    totals = counts.groupBy(group).agg(F.sum("_jobs").alias("total_jobs"))
     top = top_per_group(
         counts, [group], [F.desc("mentions"), F.asc("skill")], top_n, rank_as="rank"
     )
-    return top.join(totals, group).select(
+    return top.join(group_totals(postings, group), group).select(
         group, "skill", "mentions", "total_jobs",
         (F.col("mentions") / F.col("total_jobs") * 100).alias("prevalence"), "rank",
     )

@@ -2,7 +2,9 @@
 
 A posting's skills sit in one row, so its pairs are written out by two chained
 explodes inside the row and counted on the map side: no self-join, no shuffle of
-postings, and nothing larger than the row is held.
+postings, and nothing larger than the row is held. Where only pairs of enough jobs are
+wanted, skills with fewer jobs leave the postings first: no pair is more frequent than
+either of its skills, so nothing is lost and rare skills write no pairs.
 """
 
 from __future__ import annotations
@@ -12,8 +14,33 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.series import let
 from talentgrid.functions.skills import pair_domain_label
+from talentgrid.operators.keyed import require_columns
 from talentgrid.operators.postings import expand_skills, skill_frequency
 
+#: Names that are looked up inside a posting's row. More are joined to its skills.
+LISTED = 1000
+
+
+def skill_jobs(postings: DataFrame) -> DataFrame:
+    """(skill, jobs naming it)."""
+    return expand_skills(postings).groupBy("skill").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+def with_only(postings: DataFrame, names: DataFrame, *keep: str, listed: int = LISTED) -> DataFrame:
+    """Kept columns and skills of postings, cut to the skills in ``names``.
+
+    At most ``listed`` names are held as one set; the driver reads no more than one name
+    beyond that. If there are more, postings are taken apart, joined with the names and put
+    together by job_id. Postings without any such skill go.
+    """
+    held = [r["skill"] for r in names.select("skill").limit(listed + 1).collect()]
+    if len(held) <= listed:
+        cut = F.filter("skills", lambda s: s.isin(held)) if held else F.slice("skills", 1, 0)
+        return postings.select(*keep, cut.alias("skills")).where(F.size("skills") > 0)
+    require_columns(postings, "job_id")
+    rows = expand_skills(postings, "job_id", *keep).join(names.select("skill").distinct(), "skill", "left_semi")
+    return rows.groupBy("job_id", *keep).agg(F.collect_list("skill").alias("skills")).drop("job_id")
+
 
 def pair_rows(postings: DataFrame, *keep: str) -> DataFrame:
     """One row per (job, skill_1 < skill_2)."""
@@ -23,14 +50,19 @@ def pair_rows(postings: DataFrame, *keep: str) -> DataFrame:
     return firsts.select(*keep, "skill_1", F.explode(rest).alias("skill_2"))
 
 
-def pair_counts(postings: DataFrame, fewest: int = 2, most: int | None = None) -> DataFrame:
-    """Jobs naming both skills; a job has ``fewest`` skills or more, and ``most`` if given."""
+def pair_counts(postings: DataFrame, fewest: int = 2, most: int | None = None,
+                least: int = 1) -> DataFrame:
+    """Pairs that ``least`` jobs or more name; a job has ``fewest`` skills or more, and
+    ``most`` if given."""
     sized = postings.where(F.size("skills") >= fewest)
     if most is not None:
         sized = sized.where(F.size("skills") <= most)
-    return pair_rows(sized).groupBy("skill_1", "skill_2").agg(
+    if least > 1:
+        sized = with_only(sized, skill_jobs(sized).where(F.col("mentions") >= least))
+    counted = pair_rows(sized).groupBy("skill_1", "skill_2").agg(
         F.count(F.lit(1)).alias("mentions")
     )
+    return counted.where(F.col("mentions") >= least) if least > 1 else counted
 
 
 def skill_pairs(postings: DataFrame, min_mentions: int = 10, top_n: int = 20) -> DataFrame:
@@ -40,7 +72,7 @@ def skill_pairs(postings: DataFrame, min_mentions: int = 10, top_n: int = 20) ->
     """
     total = postings.agg(F.count(F.lit(1))).scalar()
     top = (
-        pair_counts(postings)
+        pair_counts(postings, least=min_mentions)
         .orderBy(F.desc("mentions"), F.asc("skill_1"), F.asc("skill_2"))
         .limit(top_n)
     )
@@ -49,30 +81,43 @@ def skill_pairs(postings: DataFrame, min_mentions: int = 10, top_n: int = 20) ->
     )
 
 
-def job_set_overlap(postings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each given pair: jobs with both skills, with either, and their ratio.
+def _overlap(counted: DataFrame, named: DataFrame, both: str, *keep: str) -> DataFrame:
+    """Adds jobs with both and with either skill to pairs that have their own count.
 
-    Both come from counts: the pair's own, and those of its two skills, of which
-    either = first + second - both. No posting is compared with the list of pairs.
+    either = first + second - both, from the counts of single skills in ``named``.
     """
-    wanted = pairs.select(
-        F.least("skill_1", "skill_2").alias("skill_1"),
-        F.greatest("skill_1", "skill_2").alias("skill_2"),
-    ).distinct()
-    both = pair_counts(postings).withColumnRenamed("mentions", "jobs_with_both")
-    named = expand_skills(postings).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
-    counted = wanted.join(both, ["skill_1", "skill_2"], "left")
     for side in ("skill_1", "skill_2"):
         counted = counted.join(named.toDF(side, f"_{side}"), side, "left")
-    with_both = F.coalesce("jobs_with_both", F.lit(0).cast("bigint"))
+    with_both = F.coalesce(both, F.lit(0).cast("bigint"))
     either = F.coalesce("_skill_1", F.lit(0)) + F.coalesce("_skill_2", F.lit(0)) - with_both
     return counted.select(
-        "skill_1", "skill_2", with_both.alias("jobs_with_both"), either.alias("jobs_with_either")
+        "skill_1", "skill_2", *keep, with_both.alias("jobs_with_both"),
+        either.alias("jobs_with_either"),
     ).where(F.col("jobs_with_either") > 0).withColumn(
         "co_occurrence_rate", F.col("jobs_with_both") / F.col("jobs_with_either")
     )
 
 
+def job_set_overlap(postings: DataFrame, pairs: DataFrame, both: str | None = None) -> DataFrame:
+    """For each given pair: jobs with both skills, with either, and their ratio.
+
+    ``both`` names a column of ``pairs`` that already counts the jobs with both skills, as
+    ``skill_pairs`` gives it for skill_1 < skill_2; then only single skills are counted.
+    Otherwise the pairs of the listed skills are, in postings cut to those skills.
+    """
+    ordered = [
+        F.least("skill_1", "skill_2").alias("skill_1"),
+        F.greatest("skill_1", "skill_2").alias("skill_2"),
+    ]
+    if both:
+        wanted = pairs.select(*ordered, F.col(both).alias("_both")).distinct()
+        return _overlap(wanted, skill_jobs(postings), "_both")
+    wanted = pairs.select(*ordered).distinct()
+    cut = with_only(postings, union_of_pair_skills(wanted))
+    counted = pair_counts(cut).withColumnRenamed("mentions", "_both")
+    return _overlap(wanted.join(counted, ["skill_1", "skill_2"], "left"), skill_jobs(cut), "_both")
+
+
 def synergy_label(rate: Column) -> Column:
     return (
         F.when(rate > 0.4, "Very High Synergy")
@@ -82,21 +127,20 @@ def synergy_label(rate: Column) -> Column:
     )
 
 
-def pair_synergy(postings: DataFrame, pairs: DataFrame) -> DataFrame:
-    overlap = job_set_overlap(postings, pairs)
+def pair_synergy(postings: DataFrame, pairs: DataFrame, both: str | None = None) -> DataFrame:
+    overlap = job_set_overlap(postings, pairs, both)
     return overlap.withColumn("learning_synergy", synergy_label(F.col("co_occurrence_rate")))
 
 
 def pair_prevalence(postings: DataFrame, top_n: int = 20) -> DataFrame:
     """The most common pairs with their domain label and synergy."""
     pairs = skill_pairs(postings, min_mentions=3, top_n=top_n * 2)
-    synergy = pair_synergy(postings, pairs).select("skill_1", "skill_2", "learning_synergy")
+    compared = _overlap(pairs, skill_jobs(postings), "mentions", "mentions", "prevalence")
     return (
-        pairs.join(synergy, ["skill_1", "skill_2"])
-        .select(
+        compared.select(
             "skill_1", "skill_2", "mentions", "prevalence",
             pair_domain_label(F.col("skill_1"), F.col("skill_2")).alias("combination_type"),
-            "learning_synergy",
+            synergy_label(F.col("co_occurrence_rate")).alias("learning_synergy"),
         )
         .orderBy(F.desc("mentions"), F.asc("skill_1"), F.asc("skill_2"))
         .limit(top_n)

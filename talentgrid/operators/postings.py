@@ -1,9 +1,9 @@
 """Postings ready for analysis and the skill rows and counts made from them.
 
 A *posting* row is one job with its dimensions and its distinct, normalized
-skills. Counting distinct jobs never needs the job ids: a posting row is one job,
-and in skill rows exactly one row per job carries ``leads_job``. All counts are
-therefore plain sums, combined on the map side, whatever the skew.
+skills. Counting distinct jobs never needs the job ids: a posting row is one job, and a
+skill row one job and skill. All counts are therefore plain sums, combined on the map
+side, whatever the skew.
 """
 
 from __future__ import annotations
@@ -40,15 +40,13 @@ def prepare_postings(jobs: DataFrame) -> DataFrame:
 
 
 def expand_skills(postings: DataFrame, *keep: str) -> DataFrame:
-    """One row per (job, skill) with the kept columns; ``leads_job`` marks one row per job.
+    """One row per (job, skill) with the kept columns.
 
     The outer explode keeps Spark from testing for empty lists before the explode,
     which would evaluate the skill expression twice; rows of empty lists go after it.
     """
-    exploded = postings.select(*keep, F.posexplode_outer("skills").alias("_at", "skill"))
-    return exploded.where(F.col("skill").isNotNull()).select(
-        *keep, "skill", (F.col("_at") == 0).alias("leads_job")
-    )
+    exploded = postings.select(*keep, F.explode_outer("skills").alias("skill"))
+    return exploded.where(F.col("skill").isNotNull())
 
 
 def skill_categories(skills: Column) -> Column:
@@ -56,10 +54,6 @@ def skill_categories(skills: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(skills, skill_category)))
 
 
-def jobs_seen() -> Column:
-    return F.count_if("leads_job")
-
-
 def values_of(postings: DataFrame, column: str) -> tuple[DataFrame, Column]:
     """(one row per job and distinct value, condition that a job has a value)."""
     if column == "skill":

@@ -11,8 +11,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.operators.pairs import pair_rows
+from talentgrid.operators.pairs import pair_rows, with_only
 from talentgrid.operators.postings import expand_skills
+from talentgrid.session import settle
 
 
 def fill_unknown(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,7 +57,7 @@ def job_skill_rows(postings: DataFrame, min_samples: int = 5,
                    controls: Sequence[str] = ()) -> DataFrame:
     """The incidence matrix in sparse long form: (job_id, skill, controls)."""
     rows = expand_skills(fill_unknown(postings, controls), "job_id", *controls)
-    return rows.drop("leads_job").join(valid_skills(postings, min_samples).select("skill"), "skill")
+    return rows.join(valid_skills(postings, min_samples).select("skill"), "skill")
 
 
 def job_skill_matrix(postings: DataFrame, skills: Sequence[str] | None = None,
@@ -100,15 +101,18 @@ def skill_interactions(fitted: DataFrame, min_samples: int = 5, top_n: int = 20)
 
     synergy = r(both) - r(first only) - r(second only) + r(neither), where r is the
     mean residual; only pairs for which all four groups have jobs. Pair sums are
-    combined on the map side.
+    combined on the map side, over postings cut to skills of enough jobs.
     """
+    # Three passes follow; what stands behind the residuals is computed once.
+    fitted = settle(fitted.select("job_id", "skills", "residual"), "residuals")
     whole = fitted.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum("residual").alias("s"))
     ).scalar()
     single = expand_skills(fitted, "residual").groupBy("skill").agg(
         F.count(F.lit(1)).alias("n"), F.sum("residual").alias("s")
     ).where(F.col("n") >= min_samples)
-    pairs = pair_rows(fitted, "residual").groupBy("skill_1", "skill_2").agg(
+    cut = with_only(fitted, single, "residual")
+    pairs = pair_rows(cut, "residual").groupBy("skill_1", "skill_2").agg(
         F.count(F.lit(1)).alias("n_ab"), F.sum("residual").alias("s_ab")
     )
     first = single.select(F.col("skill").alias("skill_1"), F.col("n").alias("n_a"),

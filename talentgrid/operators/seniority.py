@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
-from talentgrid.operators.groups import group_skill_counts, with_group_totals
+from talentgrid.operators.groups import with_group_totals
 from talentgrid.operators.keyed import level_rank, top_per_group
+from talentgrid.operators.ranges import running_sums
 
 LEVEL = "seniority_level"
 
@@ -15,7 +16,7 @@ LEVEL = "seniority_level"
 def level_skills(postings: DataFrame) -> DataFrame:
     """(level, skill) counts and prevalence for the known levels."""
     known = postings.where(F.col(LEVEL).isin(*fv.SENIORITY_ORDER))
-    return with_group_totals(group_skill_counts(known, LEVEL), LEVEL)
+    return with_group_totals(known, LEVEL)
 
 
 def seniority_patterns(postings: DataFrame, top_n: int = 5) -> DataFrame:
@@ -94,14 +95,15 @@ def skill_diversity(postings: DataFrame) -> DataFrame:
 
 
 def cumulative_share(postings: DataFrame) -> DataFrame:
-    """Running share of prevalence over a level's skills, largest first."""
-    skills = level_skills(postings)
-    level = Window.partitionBy(LEVEL)
-    running = level.orderBy(F.desc("prevalence"), F.asc("skill")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    share = F.sum("prevalence").over(running) / F.sum("prevalence").over(level)
-    return skills.select(LEVEL, "skill", "prevalence", share.alias("cumulative_share"))
+    """Running share of prevalence over a level's skills, largest first.
+
+    A level's prevalences have one denominator, so the shares are those of the mentions:
+    whole numbers, summed range by range. A level of many skills lies in many ranges.
+    """
+    order = [F.desc("mentions"), F.asc("skill")]
+    summed = running_sums(level_skills(postings), [LEVEL], order, "mentions", "_upto", "_all")
+    share = F.col("_upto") / F.col("_all")
+    return summed.select(LEVEL, "skill", "prevalence", share.alias("cumulative_share"))
 
 
 def normalized_level_comparison(postings: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
 from talentgrid.functions import series as S
-from talentgrid.functions.quantiles import indexed_quantiles, linear_quantiles
 from talentgrid.operators.postings import expand_skills
+from talentgrid.operators.ranges import indexed_quantiles, linear_quantiles
+from talentgrid.session import settle
 
 
 def monthly_totals(postings: DataFrame) -> DataFrame:
@@ -255,13 +256,14 @@ def skill_trends(series: DataFrame, min_prevalence: float = 1.0, min_avg_mention
                  min_months: int = 8, alpha: float = 0.3) -> DataFrame:
     """Trend metrics, category and flags per skill, unordered.
 
-    At least 1 % mean prevalence bounds the skills kept: there are at most 100 times
-    as many as skills per posting, so the quantiles see a small table. The series is
-    read three times (guards, thresholds, rows): settle it first.
+    The series is read twice (guards, metrics): settle it first. The metrics are stored,
+    as thresholds and rows both come from them.
     """
-    metrics = trend_metrics(series, min_prevalence, min_avg_mentions, min_months, alpha)
-    limits = metrics.agg(
-        F.percentile("recent_momentum_pct", F.array(F.lit(0.25), F.lit(0.75)))
+    metrics = settle(
+        trend_metrics(series, min_prevalence, min_avg_mentions, min_months, alpha), "metrics"
+    )
+    limits = linear_quantiles(metrics, "recent_momentum_pct", {"p25": 0.25, "p75": 0.75}).select(
+        F.array("p25", "p75")
     ).scalar()
     labelled = metrics.withColumn("_limits", limits).withColumn(
         "trend_category",
@@ -294,6 +296,7 @@ def process_trends(series: DataFrame, column: str = "prevalence", alpha: float =
     measured = measured.withColumn(
         "nonlinearity", S.nonlinearity(s, F.col("slope"), F.col("intercept"))
     ).drop("_s")
+    measured = settle(measured, "measured")
     limits = index_quantiles(measured, "recent_momentum")
     row = limits.select(F.struct("p25", "p75")).scalar()
     return measured.withColumn("_p", row).withColumn(

@@ -117,8 +117,10 @@ def order_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("l_partkey"), F.array_distinct(skills).alias("named")
     )
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    rows = lines.join(parts, "l_partkey").select("l_orderkey", F.explode("named").alias("skill"))
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
+    # One row a line, not one a word; an order has few lines.
+    each = lines.join(parts, "l_partkey").groupBy("l_orderkey").agg(F.collect_list("named").alias("lists"))
+    distinct = F.array_sort(F.array_distinct(F.flatten("lists")))
+    return each.select("l_orderkey", distinct.alias("skills"))
 
 
 def orders_in_full(spark: SparkSession, sf_dir: str, skills: bool = True) -> DataFrame:

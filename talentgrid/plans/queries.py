@@ -193,9 +193,9 @@ def write_csv(spark, sf_dir):
     folder = shared_folder(spark, "jobs-csv")
     jobs = P.raw_jobs(spark, sf_dir).select("slug", "title", "skills", "types", "salary_min")
     tables.write_csv(jobs, folder)
-    return spark.read.schema(
-        "slug string, title string, skills string, types string, salary_min int"
-    ).options(header=True, escape='"').csv(folder)
+    return tables.read_csv(
+        spark, folder, "slug string, title string, skills string, types string, salary_min int"
+    )
 
 
 def _order_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,8 +351,7 @@ def listings_with_company(spark, sf_dir):
 
 @query
 def join_group_totals(spark, sf_dir):
-    counts = groups.group_skill_counts(P.postings(spark, sf_dir), "country")
-    return groups.with_group_totals(counts, "country")
+    return groups.with_group_totals(P.postings(spark, sf_dir), "country")
 
 
 @query
@@ -672,7 +671,7 @@ def union_of_pair_skills(spark, sf_dir):
 @query
 def job_set_overlap(spark, sf_dir):
     rows = P.postings(spark, sf_dir)
-    return pairs.job_set_overlap(rows, pairs.skill_pairs(rows, top_n=40))
+    return pairs.job_set_overlap(rows, pairs.skill_pairs(rows, top_n=40), "mentions")
 
 
 # Scalar functions ------------------------------------------------------------------
@@ -964,7 +963,7 @@ def skill_pairs(spark, sf_dir):
 @query
 def pair_synergy(spark, sf_dir):
     rows = P.postings(spark, sf_dir)
-    return pairs.pair_synergy(rows, pairs.skill_pairs(rows, top_n=200)).select(
+    return pairs.pair_synergy(rows, pairs.skill_pairs(rows, top_n=200), "mentions").select(
         "skill_1", "skill_2", "learning_synergy"
     )
 

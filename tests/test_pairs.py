@@ -86,3 +86,35 @@ def test_universal_and_specialized(posted):
 def test_pairs_need_no_join(posted, jobs):
     plan = PR.pair_counts(posted(jobs))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "partial_count" in plan
+
+
+@pytest.mark.parametrize("listed", [PR.LISTED, 3])
+@pytest.mark.parametrize("least", [1, 2, 5, 20, 60])
+def test_pruned_counts_are_exact(posted, jobs, least, listed, monkeypatch):
+    """By a held set of names, and by a join where there are more names than that."""
+    monkeypatch.setattr(PR.with_only, "__kwdefaults__", {"listed": listed})
+    found = PR.pair_counts(posted(jobs), least=least).collect()
+    got = {(r["skill_1"], r["skill_2"]): r["mentions"] for r in found}
+    assert got == {p: n for p, n in brute_pairs(jobs).items() if n >= least}
+
+
+@pytest.mark.parametrize("listed", [PR.LISTED, 0])
+def test_rare_skills_write_no_pairs(posted, jobs, listed):
+    """A posting of 5,000 skills that no other has: 12.5 million pairs if written out."""
+    p = posted(jobs + [(900, "2025_01", "Senior", ["python", "sql"] + [f"rare{i}" for i in range(5000)])])
+    frequent = PR.skill_jobs(p).where("mentions >= 2")
+    written = PR.pair_rows(PR.with_only(p, frequent, listed=listed)).count()
+    known = {s for j in jobs for s in j[3] if not s.startswith("x")}
+    want = sum(len(known & set(j[3])) * (len(known & set(j[3])) - 1) // 2 for j in jobs) + 1
+    assert written == want < 2000
+
+
+@pytest.mark.parametrize("both", [None, "mentions"])
+def test_overlap_by_counts_in_hand_or_anew(posted, jobs, both):
+    p = posted(jobs)
+    pairs = PR.skill_pairs(p, 1, 30)
+    got = {(r["skill_1"], r["skill_2"]): r for r in PR.job_set_overlap(p, pairs, both).collect()}
+    assert len(got) == 30
+    for (one, other), r in got.items():
+        a, b = ({j[0] for j in jobs if s in j[3]} for s in (one, other))
+        assert (r["jobs_with_both"], r["jobs_with_either"]) == (len(a & b), len(a | b))

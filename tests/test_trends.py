@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as fv
-from talentgrid.functions import quantiles, series as S
+from talentgrid.functions import series as S
+from talentgrid.operators import ranges as quantiles
 from talentgrid.operators import trends as T
 
 
