@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -11,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentgrid.llm.common import partitions
 
@@ -18,6 +20,9 @@ from talentgrid.llm.common import partitions
 OPEN, BODY, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 LEARNED_ROLE = "assistant"
 
+#: The shortest record in which the JSON parser could refuse a string.
+PARSED = 20_000_000
+
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
@@ -35,7 +40,22 @@ class Layout:
 
     @property
     def fingerprint(self) -> str:
-        return hashlib.sha256("\n".join(sorted(self.paths)).encode()).hexdigest()
+        return _hashed(self.paths)
+
+    @property
+    def of_columns(self) -> str:
+        """The same turns from a struct column ``record``."""
+        return _GET.sub(
+            lambda m: f"{m[1]}.`{m[2]}`" if m[3] == "array<variant>" else f"cast({m[1]}.`{m[2]}` as {m[3]})",
+            self.turns,
+        )
+
+
+_GET = re.compile(r"variant_get\((\w+), '\$\.(\w+)', '([^']+)'\)")
+
+
+def _hashed(paths: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 def _text(path: str) -> str:
@@ -153,12 +173,20 @@ def canonical_turns(
     """(key, layout, turn, role, text) rows of JSON records in any of the layouts.
 
     A record whose paths fit no layout, or that is null or no JSON, gives one row with a
-    null layout and no turn: nothing disappears. Null roles and texts become empty. A
-    record with an empty list of messages has no paths below it and counts as unknown.
+    null layout and no turn: nothing disappears, and ``format_turns`` leaves such rows out.
+    Null roles and texts become empty. A record with an empty list of messages has no
+    paths below it and counts as unknown. The JSON parser refuses strings of more than
+    20 million characters: a record that is long enough for that and can't be parsed
+    raises. ``turns_of_columns`` has no such limit.
     """
     parsed = records.select(
-        F.col(key).alias("key"), F.try_parse_json(json).alias("record")
-    ).withColumn("print", fingerprint(F.col("record")))
+        F.col(key).alias("key"), F.try_parse_json(json).alias("record"), F.length(json).alias("size")
+    )
+    refused = F.col("record").isNull() & (F.col("size") > PARSED)
+    error = F.raise_error(F.concat(F.lit("a record of "), F.col("size"), F.lit(" characters cannot be parsed")))
+    parsed = parsed.withColumn(
+        "print", F.when(refused, error.cast("string")).otherwise(fingerprint(F.col("record")))
+    )
     turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for layout in layouts:
         fits = F.col("print") == layout.fingerprint
@@ -170,6 +198,34 @@ def canonical_turns(
     )
 
 
+def _paths(kind: T.DataType, prefix: str = "") -> set[str]:
+    """Leaf paths of a type, as ``field_paths`` gives them for a record."""
+    if isinstance(kind, T.StructType):
+        return {p for f in kind for p in _paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)}
+    return _paths(kind.elementType, prefix + "[]") if isinstance(kind, T.ArrayType) else {prefix}
+
+
+def turns_of_columns(
+    rows: DataFrame, key: str, columns: list[str], layouts: tuple[Layout, ...] = LAYOUTS
+) -> DataFrame:
+    """``canonical_turns`` of a table whose ``columns`` are the fields of its records.
+
+    All rows have one schema, so its paths are hashed once and pick the layout; texts of
+    any length stay columns and pass no parser. If no layout fits, each row has a null
+    layout and no turn, as has one with a null or empty list of messages.
+    """
+    record = rows.select(F.col(key).alias("key"), F.struct(*columns).alias("record"))
+    print_ = _hashed(_paths(record.schema["record"].dataType))
+    fitting = next((x for x in layouts if x.fingerprint == print_), None)
+    turns = F.expr(fitting.of_columns) if fitting else F.lit(None)
+    exploded = record.select("key", F.explode_outer(turns.cast(TURNS)).alias("t"))
+    name = F.when(F.col("t").isNotNull(), F.lit(fitting.name)) if fitting else F.lit(None).cast("string")
+    return exploded.select(
+        F.col("key").alias(key), name.alias("layout"), "t.turn",
+        F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"),
+    )
+
+
 def escaped(text: Column) -> Column:
     """Every backslash, < and [ followed by a backslash: no control string survives.
 
@@ -188,8 +244,11 @@ def format_turns(turns: DataFrame, key: str) -> DataFrame:
     A conversation's formatted text is its segments in (turn, role, text) order, one
     after the other; they stay apart so that a conversation of any length is never held
     whole. ``loss_start`` and ``loss_length`` are code points inside the segment and
-    cover the escaped text of an assistant's turn; other turns have length 0.
+    cover the escaped text of an assistant's turn; other turns have length 0. Rows with
+    a null layout, where there is such a column, are records that hold no turn, and go.
     """
+    if "layout" in turns.columns:
+        turns = turns.where(F.col("layout").isNotNull())
     header = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(BODY))
     body = escaped(F.col("text"))
     learned = F.col("role") == LEARNED_ROLE

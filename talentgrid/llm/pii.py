@@ -21,20 +21,22 @@ _DIGITS = "0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _HEX = "0123456789abcdef"
 
-# One scan finds the candidates of all kinds; each is validated before it counts.
+# One scan finds the candidates of all kinds; each is validated before it counts. A run of
+# characters is entered at its start alone and never given back, so that no text, whatever
+# its runs, costs more than a few steps a character.
 _CANDIDATES = re.compile(
     r"""
-    (?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24})
+    (?<![A-Za-z0-9._%+\-])[._%+\-]*+
+        (?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?=[A-Za-z0-9])(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,24})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
-    |(?P<secret>(?i:password|passwd|pwd|token|secret|api[_\-]?key)
-        (?:[_\-.][A-Za-z0-9_\-.]{1,40}|[A-Z][A-Za-z0-9]{0,40})?(?:\\?["'])?[ ]?[=:][ ]?(?:\\?["'])?
-        (?P<value>[A-Za-z0-9_\-/+]{8,512}))
+    |(?P<secret>(?<![A-Za-z0-9_\-.])(?P<name>[A-Za-z0-9_\-.]++)(?:\\?["'])?[ ]?[=:][ ]?(?:\\?["'])?
+        (?P<value>[A-Za-z0-9_\-/+.~]{8,}+={0,2}))
     |(?P<date>(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}
         |[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./\-][0-9]))
     |(?P<address>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
     |(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])
-        |(?<![0-9+])\+[1-9](?:[ .\-]?\([0-9]{1,5}\)|[ .\-]?[0-9]{1,14}){1,8}(?![0-9])
+        |(?<![0-9+])\+[1-9][0-9]{0,14}+(?:[ .\-][0-9]{1,14}+(?![0-9])|[ .\-]?\([0-9]{1,5}\)[0-9]{0,14}+){0,8}(?![0-9])
         |(?<![A-Za-z0-9+.\-_/])[2-9][0-9]{2}[2-9][0-9]{6}(?![A-Za-z0-9_]|[.\-/][0-9]))
     |(?P<social>(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-]))
     |(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}
@@ -59,6 +61,10 @@ PHONE_DIGITS = {
     "39": 13, "40": 11, "41": 11, "44": 12, "45": 10, "46": 11, "47": 10, "48": 11, "49": 13, "52": 12,
     "55": 13, "61": 11, "81": 12, "82": 12, "86": 13, "90": 12, "91": 12, "351": 12, "353": 12, "358": 12,
 }
+#: Names of values to hide, alone or before more of the name.
+_KEYWORD = re.compile(r"(?i:password|passwd|pwd|token|secret|api[_\-]?key)")
+#: Characters that are permuted together; a longer value goes piece by piece.
+PIECE = 256
 #: A text with none of these has no candidate.
 _NEEDED = re.compile(r"[0-9@=:]")
 
@@ -96,10 +102,22 @@ class Pseudonyms:
         fits = (lambda x: valid(str(x).zfill(n))) if valid else None
         return str(self.number(int(text), 10**n, kind, fits)).zfill(n) if n else ""
 
-    def classes(self, text: str, kind: str) -> str:
-        """Digits to digits, letters to letters of their case; all else stays in place."""
-        # A hexadecimal text stays one.
-        hexadecimal = len(text) >= 8 and all(c in _HEX for c in text)
+    def classes(self, text: str, kind: str, may_be_hex: bool = False) -> str:
+        """Digits to digits, letters to letters of their case; all else stays in place.
+
+        With ``may_be_hex`` a hexadecimal text, of both its letters and digits, stays one.
+        Each piece of a long text is permuted under what the pieces before it became.
+        """
+        hexadecimal = may_be_hex and _is_hex(text)
+        if len(text) <= PIECE:
+            return self._piece(text, kind, hexadecimal)
+        out: list[str] = []
+        for start in range(0, len(text), PIECE):
+            before = hashlib.sha256(out[-1].encode()).hexdigest() if out else ""
+            out.append(self._piece(text[start : start + PIECE], f"{kind}:{start}:{before}", hexadecimal))
+        return "".join(out)
+
+    def _piece(self, text: str, kind: str, hexadecimal: bool) -> str:
         sets = [
             _HEX if hexadecimal
             else _DIGITS if c in _DIGITS
@@ -112,12 +130,21 @@ class Pseudonyms:
         for c, letters in zip(text, sets):
             value, size = value * len(letters) + letters.index(c), size * len(letters)
         format_ = "".join(s[0] if len(s) > 1 else "\x00" + s for s in sets)
-        value = self.number(value, size, f"{kind}:{format_}")
-        out = []
-        for letters in reversed(sets):
-            value, place = divmod(value, len(letters))
-            out.append(letters[place])
-        return "".join(reversed(out))
+
+        def written(value: int) -> str:
+            out = []
+            for letters in reversed(sets):
+                value, place = divmod(value, len(letters))
+                out.append(letters[place])
+            return "".join(reversed(out))
+
+        fits = (lambda x: _is_hex(written(x))) if hexadecimal and _is_hex(text) else None
+        return written(self.number(value, size, f"{kind}:{format_}", fits))
+
+
+def _is_hex(text: str) -> bool:
+    """Only lower-case hexadecimal digits, some of them letters and some not."""
+    return all(c in _HEX for c in text) and not text.isdigit() and not text.isalpha()
 
 
 def luhn_digit(digits: str) -> str:
@@ -186,6 +213,9 @@ def _ends(kind: str, text: str) -> Iterator[int]:
     elif kind == "phone" and text[0] == "+":
         most = PHONE_DIGITS.get(_code(_only(text)), 15)
         fits = lambda part: len(_only(_TWICE.sub("", part))) <= most
+    elif kind == "secret":
+        # Dots at the end belong to the sentence.
+        ends, fits = [len(text.rstrip("."))], lambda part: len(part) >= 8
     else:
         ends, fits = ends[:1], lambda part: True
     return (end for end in ends if fits(text[:end]))
@@ -208,23 +238,30 @@ def _social(text: str, p: Pseudonyms) -> str | None:
 
 
 def _date(text: str, p: Pseudonyms) -> str | None:
-    """A calendar date in its own notation; 7/5/2001 counts as month/day/year."""
+    """A calendar date in its own notation; 7/5/2001 counts as month/day/year.
+
+    31/12/2024 has no such reading and counts as day/month/year. It moves among the dates
+    that only this order can name, so no two dates come out as one text.
+    """
     mark = next(c for c in text if c not in _DIGITS)
     a, b, c = text.split(mark)
-    year, month, day = {"-": (a, b, c), "/": (c, a, b), ".": (c, b, a)}[mark]
+    day_first = mark == "/" and int(a) > 12
+    year, month, day = {"-": (a, b, c), "/": (c, b, a) if day_first else (c, a, b), ".": (c, b, a)}[mark]
     y, m, d = int(year), int(month), int(day)
     if not (FIRST_DAY.year <= y <= LAST_DAY.year and 1 <= m <= 12):
         return None
     if not 1 <= d <= calendar.monthrange(y, m)[1]:
         return None
     first = FIRST_DAY.toordinal()
+    fits = (lambda x: datetime.date.fromordinal(first + x).day > 12) if day_first else None
     moved = p.number(
-        datetime.date(y, m, d).toordinal() - first, LAST_DAY.toordinal() - first + 1, "date"
+        datetime.date(y, m, d).toordinal() - first, LAST_DAY.toordinal() - first + 1, "date", fits
     )
     to = datetime.date.fromordinal(first + moved)
     padded = len(month) == 2 and len(day) == 2
     mm, dd = (f"{to.month:02}", f"{to.day:02}") if padded else (str(to.month), str(to.day))
-    return mark.join({"-": (str(to.year), mm, dd), "/": (mm, dd, str(to.year)), ".": (dd, mm, str(to.year))}[mark])
+    slashed = (dd, mm, str(to.year)) if day_first else (mm, dd, str(to.year))
+    return mark.join({"-": (str(to.year), mm, dd), "/": slashed, ".": (dd, mm, str(to.year))}[mark])
 
 
 def _iban(text: str, p: Pseudonyms) -> str | None:
@@ -255,7 +292,19 @@ def _access(text: str, p: Pseudonyms) -> str | None:
 
 
 def _secret(text: str, p: Pseudonyms) -> str | None:
-    return p.classes(text, "secret") if any(c in _DIGITS for c in text) else None
+    return p.classes(text, "secret", may_be_hex=True) if any(c in _DIGITS for c in text) else None
+
+
+def _names_secret(name: str) -> bool:
+    """password, API_KEY, dbPassword, token.id, secretKey: but not tokens or passwordless."""
+    marked = max(map(name.rfind, "_-."))
+    for found in _KEYWORD.finditer(name):
+        rest = found.end()
+        if rest == len(name) or (name[rest] in "_-." and rest + 1 < len(name)):
+            return True
+        if "A" <= name[rest] <= "Z" and marked < rest:
+            return True
+    return False
 
 
 _KINDS: dict[str, Callable[[str, Pseudonyms], str | None]] = {
@@ -290,6 +339,9 @@ def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     while found := _CANDIDATES.search(text, at):
         kind = next(k for k in _KINDS if found.group(k) is not None)
         start, end = found.span("value" if kind == "secret" else kind)
+        if kind == "secret" and not _names_secret(found["name"]):
+            at = found.end("name")
+            continue
         for cut in _ends(kind, text[start:end]):
             new = of(kind, text[start : start + cut])
             if new is not None:

@@ -72,7 +72,7 @@ def op8_quality_rules(spark, sf_dir):
 
 @query
 def op10_chat_format(spark, sf_dir):
-    """Every row as a JSON record of the layout that it has, with conversation -7."""
+    """Every row as a record of the layout that its columns have, with conversation -7."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         "conv_id", "turn", "role", "text"
     )
@@ -81,11 +81,7 @@ def op10_chat_format(spark, sf_dir):
         [(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
         "conv_id long, turn long, role string, text string",
     )
-    records = rows.unionByName(more).select(
-        "conv_id",
-        F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("json"),
-    )
-    turns = chat.canonical_turns(records, "conv_id", "json")
+    turns = chat.turns_of_columns(rows.unionByName(more), "conv_id", ["turn", "role", "text"])
     return chat.conversation_digests(chat.format_turns(turns, "conv_id"), "conv_id")
 
 

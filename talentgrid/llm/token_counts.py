@@ -31,7 +31,17 @@ def _encoder(path: str):
 
 
 def read_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored counts; none if nothing was stored yet."""
+    """One stored count for each content and version; none if nothing was stored yet.
+
+    Two runs at once may both append a content, and so may a run that was started again:
+    such copies hold one count and come out as one row.
+    """
+    return _stored(spark, folder).groupBy("content", "version").agg(
+        F.min("n_tokens").alias("n_tokens")
+    )
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(folder)
     except AnalysisException as error:
@@ -66,11 +76,10 @@ def count_tokens(docs: DataFrame, cache_folder: str, path: str, limit: int = 204
     # Ids and digests are stored, so that texts are hashed and read once here.
     digests = settle(rows.select("doc_id", "n_bytes", "content"), "digests")
     stored = read_cache(spark, cache_folder).where(F.col("version") == version)
-    distinct = digests.select("content").distinct()
-    misses = distinct.join(stored, "content", "left_anti")
-    one_text = rows.groupBy("content").agg(F.first("text").alias("text"))
-    texts = one_text.join(misses, "content", "left_semi").select("content", "text")
-    counted = texts.mapInArrow(_encoder(path), "content binary, n_tokens long")
+    misses = settle(digests.select("content").distinct().join(stored, "content", "left_anti"), "misses")
+    # Rows are cut to the misses first: where those are few, no text is shuffled for it.
+    missing = rows.join(misses, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    counted = missing.select("content", "text").mapInArrow(_encoder(path), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("version"), "n_tokens").write.mode(
         "append"
     ).parquet(cache_folder)

@@ -90,3 +90,44 @@ def test_a_long_conversation_streams(spark):
     rows = [(9, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(25_000)]
     (r,) = read(spark, rows)
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == digest([x[2:] for x in rows])
+
+
+def test_columns_give_the_same_turns_as_json(spark):
+    tables = {
+        "prompt": [("Q", "A"), (None, "A")], "messages": [([("user", "Q"), ("assistant", None)],), ([],), (None,)],
+        "from and value": [([("human", "Q"), ("gpt", "A")],)], "turn row": [(3, "user", "x"), (None, None, None)],
+        None: [("a", "b")],
+    }
+    schemas = {
+        "prompt": "prompt string, response string", "messages": "messages array<struct<role:string,content:string>>",
+        "from and value": "conversations array<struct<`from`:string,value:string>>",
+        "turn row": "turn long, role string, text string", None: "other string, more string",
+    }
+    for name, rows in tables.items():
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id long, {schemas[name]}")
+        columns = [c for c in df.columns if c != "id"]
+        json_rows = df.select("id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
+        turns = chat.turns_of_columns(df, "id", columns)
+        assert sorted(map(tuple, turns.collect()), key=str) == sorted(
+            map(tuple, chat.canonical_turns(json_rows, "id", "json").collect()), key=str)
+        assert {r.layout for r in turns.collect()} <= {name, None}
+
+
+def test_records_without_turns_stay_out_of_the_digests(spark):
+    rows = [(1, json.dumps({"prompt": "Q", "response": "A"})), (1, "no json"), (2, None)]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "id long, json string"), "id", "json")
+    (r,) = chat.conversation_digests(chat.format_turns(turns, "id"), "id").collect()
+    assert (r.id, r.n_turns, r.turns_sha256) == (1, *digest([("user", "Q"), ("assistant", "A")])[:2])
+
+
+def test_a_turn_of_21_million_characters(spark):
+    n = 21_000_000
+    rows = spark.createDataFrame([(5, 0, "user", "q"), (5, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    long = rows.withColumn("text", F.when(F.col("turn") == 1, F.repeat("text", n)).otherwise(F.col("text")))
+    turns = chat.turns_of_columns(long, "conv_id", ["turn", "role", "text"])
+    (r,) = chat.conversation_digests(chat.format_turns(turns, "conv_id"), "conv_id").collect()
+    assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == digest([("user", "q"), ("assistant", "a" * n)])
+    # As JSON the parser refuses it: that is an error, not an empty turn.
+    records = long.select("conv_id", F.to_json(F.struct("turn", "role", "text")).alias("json"))
+    with pytest.raises(Exception, match="cannot be parsed"):
+        chat.canonical_turns(records, "conv_id", "json").collect()

@@ -101,7 +101,7 @@ def test_crossing_links_reach_what_stars_miss(spark, monkeypatch):
 
 
 def test_words_and_shingles():
-    assert neardup.words_of(" A\x0bbÉ\tC d\n") == [b"a", "bÉ".encode(), "c d".encode()]
+    assert neardup.words_of(" A\x0bbÉ\tC\u00a0d\n") == [b"a", "bÉ".encode(), "c\u00a0d".encode()]
     assert neardup.shingle_set("A b", 3) == {(b"a", b"b")}
     assert len(neardup.shingle_hashes([b"a", b"b"], 3)) == 1
     words = [str(i % 7).encode() for i in range(50)]

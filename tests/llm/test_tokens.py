@@ -66,6 +66,33 @@ def test_stored_counts_are_used_and_kept_by_version(spark):
     assert [r[2] for r in before] == [len(x) for x in whole(WORDS, ["alpha beta", "gamma"])]
 
 
+def test_copies_in_the_cache_make_no_rows(spark, messy):
+    """As two runs at once, or one started again, would leave it."""
+    folder = shared_folder(spark, "cache")
+    want = counted(messy, folder)
+    spark.read.schema(token_counts.CACHE_SCHEMA).parquet(folder).write.mode("append").parquet(folder)
+    assert counted(messy, folder) == want and len(want) == messy.count()
+
+
+def test_texts_of_hits_are_not_shuffled(spark, messy, monkeypatch):
+    folder = shared_folder(spark, "cache")
+    want = counted(messy, folder)
+    was = token_counts._encoder
+
+    def spied(path):
+        inner = was(path)
+
+        def encode(batches):
+            for batch in batches:
+                assert not batch.num_rows, "a hit was encoded"
+                yield from inner([batch])
+
+        return encode
+
+    monkeypatch.setattr(token_counts, "_encoder", spied)
+    assert counted(messy, folder) == want
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_packing_round_trip(messy, messy_wide, wide):
     docs = (messy_wide if wide else messy).dropDuplicates(["doc_id"])
