@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +16,8 @@ REMEMBERED = 1_000_000
 
 #: A single blank between two characters that aren't white space.
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: A single line feed between two such characters.
+_INNER_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 #: White space other than the blank and the line feed.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -86,9 +88,10 @@ class ByteIds:
     """Token ids for a byte-level vocabulary that keeps white space.
 
     Such a vocabulary joins one blank to the word behind it and never merges across, so a
-    text may be cut before a blank between two visible characters, and only there:
-    longer runs of white space stay inside one piece. ``rest`` has the ids of pieces
-    with that blank in front, ``first`` those of the pieces that begin a text.
+    text may be cut before a blank between two visible characters. A line feed between
+    two of them is a word of its own, so lines may be cut there. Longer runs of white space
+    stay inside one piece. ``rest`` has the ids of pieces with that blank in front,
+    ``first`` those of the pieces that begin a line.
     """
 
     def __init__(self, path: str):
@@ -101,6 +104,7 @@ class ByteIds:
         self.bytes = np.zeros(size, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token.encode()) if token in added else len(token)
+        self.line_feed = self._each(["\n"])[0]
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
@@ -114,10 +118,10 @@ class ByteIds:
         return [np.array(e.ids, self.type).tobytes() for e in encoded]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of many pieces from one text of them all, divided by the bytes they cover."""
-        ids = np.array(
-            self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, self.type
-        )
+        """Ids of many pieces from a few texts of them all, divided by the bytes they cover."""
+        texts = [" " + " ".join(pieces[i : i + 256]) for i in range(0, len(pieces), 256)]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, self.type) for e in encoded])
         ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1)
         covered = np.cumsum(self.bytes[ids])
         stops = np.searchsorted(covered, ends) + 1
@@ -129,7 +133,8 @@ class ByteIds:
         self.rest.update(zip(pieces, map(stored.__getitem__, map(slice, bounds[:-1], bounds[1:]))))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.cut(t) for t in texts]
+        lines = [_INNER_BREAK.split(t) if "\n" in t else [t] for t in texts]
+        cut = [self.cut(line) for text in lines for line in text]
         heads = [pieces[0] for pieces in cut]
         tails = [pieces[1:] for pieces in cut]
         for known in (self.first, self.rest):
@@ -141,9 +146,9 @@ class ByteIds:
         for start in range(0, len(missing), 16_384):
             self._learn(missing[start : start + 16_384])
         known = self.rest.__getitem__
+        stored = (self.first[head] + b"".join(map(known, tail)) for head, tail in zip(heads, tails))
         return [
-            np.frombuffer(self.first[head] + b"".join(map(known, tail)), self.type)
-            for head, tail in zip(heads, tails)
+            np.frombuffer(self.line_feed.join(islice(stored, len(text))), self.type) for text in lines
         ]
 
 
