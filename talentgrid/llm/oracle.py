@@ -44,8 +44,9 @@ def quality_sql() -> str:
 
     def share(i: int, sign: int, mass: str) -> str:
         return (
-            f"(sum(CASE WHEN votes[{i}] = {sign} THEN {mass} ELSE 0 END) + 1) / "
-            f"(sum(CASE WHEN votes[{i}] <> 0 THEN {mass} ELSE 0 END) + 2)"
+            f"(sum(CASE WHEN votes[{i}] = {sign} THEN {mass} ELSE 0 END) + sum(n) * {quality.PRIOR} * "
+            f"{quality.RIGHT_ON_GOOD if sign == 1 else quality.RIGHT_ON_BAD} + 1) / "
+            f"(sum(CASE WHEN votes[{i}] <> 0 THEN {mass} ELSE 0 END) + sum(n) * {quality.PRIOR} + 2)"
         )
 
     for k in range(quality.ROUNDS):

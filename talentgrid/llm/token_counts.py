@@ -13,6 +13,8 @@ from talentgrid.llm import tokens
 from talentgrid.llm.common import no_null
 from talentgrid.session import settle
 
+#: Missing digests that every task may hold, 32 bytes each.
+HELD = 100_000
 CACHE_SCHEMA = "content binary, version string, n_tokens long"
 
 
@@ -77,8 +79,13 @@ def count_tokens(docs: DataFrame, cache_folder: str, path: str, limit: int = 204
     digests = settle(rows.select("doc_id", "n_bytes", "content"), "digests")
     stored = read_cache(spark, cache_folder).where(F.col("version") == version)
     misses = settle(digests.select("content").distinct().join(stored, "content", "left_anti"), "misses")
-    # Rows are cut to the misses first: where those are few, no text is shuffled for it.
-    missing = rows.join(misses, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    one_text = F.first("text").alias("text")
+    if misses.count() <= HELD:
+        # No text of a hit is shuffled.
+        missing = rows.join(F.broadcast(misses), "content", "left_semi").groupBy("content").agg(one_text)
+    else:
+        # Copies meet on the map side, so a text that a third of all rows hold moves once a task.
+        missing = rows.groupBy("content").agg(one_text).join(misses, "content", "left_semi")
     counted = missing.select("content", "text").mapInArrow(_encoder(path), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("version"), "n_tokens").write.mode(
         "append"

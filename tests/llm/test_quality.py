@@ -52,15 +52,16 @@ def fitted(patterns):
             odds += {1: math.log(g) - math.log(1 - b), -1: math.log(1 - g) - math.log(b), 0: 0.0}[v]
         return 1 / (1 + math.exp(-odds))
 
+    behind = q.PRIOR * sum(patterns.values())
     for _ in range(q.ROUNDS):
         post = {p: posterior(p) for p in patterns}
         right = {
             s: [
-                (sum(k * m(post[p]) for p, k in patterns.items() if p[i] == s) + 1)
-                / (sum(k * m(post[p]) for p, k in patterns.items() if p[i] != 0) + 2)
+                (sum(k * m(post[p]) for p, k in patterns.items() if p[i] == s) + behind * start + 1)
+                / (sum(k * m(post[p]) for p, k in patterns.items() if p[i] != 0) + behind + 2)
                 for i in range(n)
             ]
-            for s, m in ((1, lambda x: x), (-1, lambda x: 1 - x))
+            for s, m, start in ((1, lambda x: x, q.RIGHT_ON_GOOD), (-1, lambda x: 1 - x, q.RIGHT_ON_BAD))
         }
         good = (sum(k * post[p] for p, k in patterns.items()) + 1) / (sum(patterns.values()) + 2)
         on_good, on_bad = right[1], right[-1]

@@ -74,6 +74,15 @@ def test_copies_in_the_cache_make_no_rows(spark, messy):
     assert counted(messy, folder) == want and len(want) == messy.count()
 
 
+@pytest.mark.parametrize("held", [0, 3, 1000])
+def test_few_or_many_misses_are_counted_alike(spark, messy, monkeypatch, held):
+    want = counted(messy, shared_folder(spark, "cache"))
+    monkeypatch.setattr(token_counts, "HELD", held)
+    folder = shared_folder(spark, "cache")
+    assert counted(messy.where("doc_id < 5"), folder) == [r for r in want if r[0] is not None and r[0] < 5]
+    assert counted(messy, folder) == want
+
+
 def test_texts_of_hits_are_not_shuffled(spark, messy, monkeypatch):
     folder = shared_folder(spark, "cache")
     want = counted(messy, folder)
