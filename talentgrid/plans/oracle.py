@@ -888,6 +888,9 @@ check("stream_company_counts", """SELECT user_id AS company_slug,
     CAST(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 WHEN 'view' THEN 1 WHEN 'click' THEN -1
         ELSE 0 END) AS BIGINT) AS jobs_ai_count FROM events GROUP BY user_id""")
 check("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+check("stream_session_first", """SELECT user_id, event_type, event_id FROM (SELECT *,
+    ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS since FROM events)
+    WHERE since IS NULL OR since > INTERVAL 1 DAY""")
 check("stream_batch_upsert", """SELECT user_id, event_type, min(event_id) AS event_id FROM events
     GROUP BY user_id, event_type""")
 check("stamp_updated_at", """SELECT company_key, source_key, amount, created_at_utc, updated_at_utc FROM (

@@ -17,7 +17,7 @@ from talentgrid.operators import (
 from talentgrid.plans import cleaning, projection as P
 from talentgrid.plans.trends import settled_series, settled_trends
 from talentgrid.session import shared_folder
-from talentgrid.sources import payloads, tables
+from talentgrid.sources import keyed_table, payloads, tables
 from talentgrid.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,10 +223,16 @@ def insert_ignore(spark, sf_dir):
 
 @query
 def upsert_update(spark, sf_dir):
-    return keyed.upsert_update(
-        _stored_companies(spark, sf_dir), _order_companies(spark, sf_dir), ["company_key"],
-        [F.desc("o_orderdate"), F.desc("source_key")],
+    """A stored table; the update rewrites the buckets of its own keys."""
+    folder = shared_folder(spark, "companies")
+    keyed_table.create(_stored_companies(spark, sf_dir), folder, ["company_key"])
+    keyed_table.update(
+        _order_companies(spark, sf_dir), folder,
+        lambda stored, batch: keyed.upsert_update(
+            stored, batch, ["company_key"], [F.desc("o_orderdate"), F.desc("source_key")]
+        ),
     )
+    return keyed_table.read(spark, folder)
 
 
 def _result_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -243,8 +249,14 @@ def _result_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 @query
 def upsert_keep_last(spark, sf_dir):
+    """A stored table of successes; the update rewrites the buckets of its own keys."""
     stored, new = _result_batches(spark, sf_dir)
-    return keyed.upsert_keep_last(stored, new, ["slug"], [F.desc("seq")])
+    folder = shared_folder(spark, "results")
+    keyed_table.create(stored.where("success"), folder, ["slug"])
+    keyed_table.update(
+        new, folder, lambda old, batch: keyed.upsert_keep_last(old, batch, ["slug"], [F.desc("seq")])
+    )
+    return keyed_table.read(spark, folder)
 
 
 @query
@@ -1223,6 +1235,26 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.parquet(folder).select("user_id", "event_type")
 
 
+@query
+def stream_session_first(spark, sf_dir):
+    """Three deliveries of events by time; of a key's rows within a day of each other the first."""
+    source, folder = shared_folder(spark, "event-files"), shared_folder(spark, "session-first")
+    events = P.table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")
+    )
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = F.expr(f"least(2, 3 * (unix_micros(ts) - {low}) div greatest(1, {high} - {low}))")
+    with feeds.state_on_disk(spark):
+        for part in range(3):
+            events.where(third == part).write.mode("append").parquet(source)
+            feed = feeds.read_feed(spark, source, events.schema)
+            first = feeds.first_of_session(
+                feed, ["user_id", "event_type"], "ts", "event_id", "1 day", "1 hour"
+            )
+            feeds.append_rows(first, folder, f"{folder}-state").awaitTermination()
+    return spark.read.parquet(folder).select("user_id", "event_type", "event_id")
+
+
 @query
 def stream_batch_upsert(spark, sf_dir):
     """Three deliveries of events, each caught up before the next; a key's first row wins."""

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talentgrid.operators.keyed import insert_ignore
+from talentgrid.sources import stores
 
 
 def read_feed(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet",
@@ -58,14 +64,18 @@ def first_seen(feed: DataFrame, keys: Sequence[str], event_time: str | None = No
     return feed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def write_changes(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def write_changes(counts: DataFrame, folder: str, checkpoint: str, key: str = "company_slug",
+                  share: float = 0.5, most: int = 20) -> StreamingQuery:
     """Write the keys that a batch changed into ``folder/batch=N``; stops when caught up.
 
-    A batch run again overwrites its own folder. ``latest_counts`` reads the table.
+    A batch run again overwrites its own folder. ``latest_counts`` reads the table. When
+    the batches since the last base hold more than ``share`` of its rows, or are more than
+    ``most``, they are folded into a new one, so the table stays in proportion to its keys.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        compact_changes(batch.sparkSession, folder, number, key, share, most)
 
     return (
         counts.writeStream.outputMode("update").foreachBatch(save)
@@ -73,14 +83,133 @@ def write_changes(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQ
     )
 
 
-def latest_counts(spark: SparkSession, folder: str, key: str = "company_slug") -> DataFrame:
-    """Of each key the row of the last batch that changed it."""
-    saved = spark.read.parquet(folder)
-    values = [c for c in saved.columns if c not in (key, "batch")]
-    last = saved.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+def _written(spark: SparkSession, folder: str) -> tuple[list[int], list[int]]:
+    """Numbers of the bases and of the batches that were written whole."""
+    found: dict[str, list[int]] = {"base": [], "batch": []}
+    for name in stores.names(spark, folder):
+        kind, _, number = name.partition("=")
+        if kind in found and stores.exists(spark, f"{folder}/{name}/_SUCCESS"):
+            found[kind].append(int(number))
+    return sorted(found["base"]), sorted(found["batch"])
+
+
+def _last_changes(spark: SparkSession, folder: str, base: int | None, batches: Sequence[int],
+                  key: str) -> DataFrame:
+    """Of each key the last row among a base and batches, with the batch it is from."""
+    parts = [
+        spark.read.parquet(f"{folder}/batch={n}").withColumn("_from", F.lit(n).cast("long")) for n in batches
+    ]
+    if base is not None:
+        parts.append(spark.read.parquet(f"{folder}/base={base}"))
+    rows = reduce(DataFrame.unionByName, parts)
+    values = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "_from").alias("_last"))
     return last.select(key, "_last.*")
 
 
+def compact_changes(spark: SparkSession, folder: str, number: int, key: str, share: float,
+                    most: int) -> None:
+    """Fold the batches up to ``number`` into a base, if they have grown enough.
+
+    A base has the last row of each key and counts once it is written whole. The base and
+    the batches before it stay until the next one, for readers that have begun. Rows are
+    states, not differences: a batch that is run again after it was folded adds nothing.
+    """
+    bases, batches = _written(spark, folder)
+    base = max((b for b in bases if b < number), default=None)
+    pending = [n for n in batches if n <= number and (base is None or n > base)]
+    if base is not None and len(pending) <= most:
+        held = spark.read.parquet(f"{folder}/base={base}").count()
+        new = spark.read.parquet(*[f"{folder}/batch={n}" for n in pending]).count()
+        if new <= share * held:
+            return
+    _last_changes(spark, folder, base, pending, key).write.mode("overwrite").parquet(f"{folder}/base={number}")
+    for old in bases:
+        if base is not None and old < base:
+            stores.remove(spark, f"{folder}/base={old}")
+    for old in batches:
+        if base is not None and old <= base:
+            stores.remove(spark, f"{folder}/batch={old}")
+
+
+def latest_counts(spark: SparkSession, folder: str, key: str = "company_slug") -> DataFrame:
+    """Of each key the row of the last batch that changed it: the last base and what follows."""
+    bases, batches = _written(spark, folder)
+    base = bases[-1] if bases else None
+    later = [n for n in batches if base is None or n > base]
+    return _last_changes(spark, folder, base, later, key).drop("_from")
+
+
+def first_of_session(feed: DataFrame, keys: Sequence[str], event_time: str, order: str, gap: str,
+                     delay: str) -> DataFrame:
+    """The first row of each session of each key: (keys, event_time, order).
+
+    Rows of a key belong to one session while no two neighbours lie more than ``gap``
+    apart. The earliest row by (event_time, order) of the batch in which a session begins
+    wins and is given at once; repeats within the session go. A key's state is the end of
+    its session; a timer drops it once the watermark, ``delay`` behind the latest row, has
+    passed that end by the gap. So state holds the open sessions, not all keys ever seen.
+    A row that comes late never replaces a winner, and rows later than the watermark are
+    lost. Rows without an event time are no part of any session. ``order`` is a whole number.
+    """
+    width = int(pd.Timedelta(gap).value // 1000)
+    names = [*keys, event_time, order]
+    kinds = {f.name: f.dataType.simpleString() for f in feed.schema}
+    rows = feed.where(F.col(event_time).isNotNull()).select(
+        *names, F.unix_micros(F.col(event_time)).alias("_at")
+    ).withWatermark(event_time, delay)
+
+    def begun(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # Sessions of this batch, in order: their winner and their end. Chunks of a key's
+        # rows come in any order, so each is folded into the sessions found before.
+        found: list[tuple[int, int, int]] = []
+        for chunk in chunks:
+            ordered = chunk[["_at", order]].sort_values(["_at", order], kind="stable")
+            at, number = ordered["_at"].to_numpy(), ordered[order].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(at) > width]))
+            ends = np.concatenate([starts[1:], [len(at)]]) - 1
+            merged: list[tuple[int, int, int]] = []
+            for one in sorted([*found, *((int(at[s]), int(number[s]), int(at[e])) for s, e in zip(starts, ends))]):
+                if merged and one[0] - merged[-1][2] <= width:
+                    merged[-1] = (*merged[-1][:2], max(merged[-1][2], one[2]))
+                else:
+                    merged.append(one)
+            found = merged
+        last = state.get[0] if state.exists else None
+        new = [s for s in found if last is None or s[0] - last > width]
+        end = max([s[2] for s in found] + ([last] if last is not None else []))
+        state.update((end,))
+        state.setTimeoutTimestamp(max((end + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if new:
+            yield pd.DataFrame(
+                {**{k: [v] * len(new) for k, v in zip(keys, key)},
+                 "_at": [s[0] for s in new], order: [s[1] for s in new]}
+            )
+
+    out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_at long", f"`{order}` {kinds[order]}"])
+    winners = rows.groupBy(*keys).applyInPandasWithState(
+        begun, out, "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return winners.select(
+        *keys, F.timestamp_micros("_at").cast(kinds[event_time]).alias(event_time), order
+    )
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, not in the JVM's heap."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def append_rows(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return (
         rows.writeStream.outputMode("append").format("parquet").option("path", folder)

@@ -1,4 +1,6 @@
+import datetime
 import json
+import random
 
 import numpy as np
 import pytest
@@ -6,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from talentgrid.operators import titles
-from talentgrid.sources import payloads, tables
+from talentgrid.sources import payloads, stores, tables
 from talentgrid.streaming import feeds
 
 
@@ -131,3 +133,95 @@ def test_first_seen_stream(spark, tmp_path):
     out = str(tmp_path / "out")
     feeds.append_rows(feeds.first_seen(feed, ["k"], "t", "1 day"), out, str(tmp_path / "s")).awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def _deliver(spark, rows, source, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+
+def test_changes_stay_in_proportion_to_keys(spark, tmp_path):
+    """200 batches over 30 keys; the counts are those of all of them."""
+    folder, keys = str(tmp_path / "out"), 30
+    want, draw = {}, np.random.default_rng(2)
+    largest = 0
+    for number in range(200):
+        changed = {int(k): number * 100 + int(k) for k in draw.integers(0, keys, 4)}
+        want |= changed
+        batch = spark.createDataFrame([(f"c{k:02}", v) for k, v in changed.items()], "company_slug string, jobs_count long")
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        feeds.compact_changes(spark, folder, number, "company_slug", 0.5, 20)
+        if number % 40 == 39:
+            held = sum(spark.read.parquet(f"{folder}/{n}").count() for n in stores.names(spark, folder))
+            largest = max(largest, held)
+            got = {r.company_slug: r.jobs_count for r in feeds.latest_counts(spark, folder).collect()}
+            assert got == {f"c{k:02}": v for k, v in want.items()}
+    assert largest <= 4 * keys
+    # The last batch once more, as after a failure between its two steps.
+    before = sorted(map(tuple, feeds.latest_counts(spark, folder).collect()))
+    batch.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch=199")
+    feeds.compact_changes(spark, folder, 199, "company_slug", 0.0, 0)
+    assert sorted(map(tuple, feeds.latest_counts(spark, folder).collect())) == before
+    # A base that was not written whole doesn't count.
+    spark.createDataFrame([("c00", -1, 500)], "company_slug string, jobs_count long, _from long").write.parquet(f"{folder}/base=300")
+    (tmp_path / "out" / "base=300" / "_SUCCESS").unlink()
+    assert sorted(map(tuple, feeds.latest_counts(spark, folder).collect())) == before
+
+
+def _session_starts(rows, gap):
+    """(key, id) of the first row of each session, by a plain scan."""
+    last, first = {}, []
+    for key, at, number in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2])):
+        if key not in last or (at - last[key]).total_seconds() > gap:
+            first.append((key, number))
+        last[key] = at
+    return sorted(first, key=str)
+
+
+@pytest.mark.parametrize("batch_rows", [None, 7])
+def test_first_of_each_session(spark, tmp_path, batch_rows):
+    draw, schema = random.Random(3), "k string, ts timestamp, id long"
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(600):
+        at = start + datetime.timedelta(minutes=draw.randint(0, 6 * 1440))
+        rows.append((draw.choice(["hot"] * 6 + ["a", "b", None]), at, i))
+    rows += [("edge", start + datetime.timedelta(hours=3 * i), 1000 + i) for i in range(4)]
+    rows += [("a", None, 2000), rows[0]]
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or start))
+    if batch_rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        with feeds.state_on_disk(spark):
+            for part in range(4):
+                own = ordered[part * len(ordered) // 4: (part + 1) * len(ordered) // 4]
+                draw.shuffle(own)
+                _deliver(spark, own, source, schema)
+                feed = feeds.read_feed(spark, source, "k string, ts timestamp, id long")
+                first = feeds.first_of_session(feed, ["k"], "ts", "id", "3 hours", "1 minute")
+                feeds.append_rows(first, out, state).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = spark.read.parquet(out).collect()
+    assert sorted(((r.k, r.id) for r in found), key=str) == _session_starts(rows, 3 * 3600)
+    at = {r[2]: r[1] for r in rows}
+    assert all(r.ts == at[r.id] for r in found)
+
+
+def test_state_ends_with_the_session(spark, tmp_path):
+    """Keys of sessions that are over leave the state; a key that comes back begins anew."""
+    schema, start = "k string, ts timestamp, id long", datetime.datetime(2024, 1, 1)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    left = []
+    for day in range(4):
+        own = [(f"day{day}-{i}", start + datetime.timedelta(days=day, minutes=i), day * 100 + i) for i in range(20)]
+        own.append(("daily", start + datetime.timedelta(days=day), day * 100 + 50))
+        _deliver(spark, own, source, schema)
+        feed = feeds.read_feed(spark, source, schema)
+        with feeds.state_on_disk(spark):
+            query = feeds.append_rows(feeds.first_of_session(feed, ["k"], "ts", "id", "1 hour", "1 minute"), out, state)
+            query.awaitTermination()
+        left.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(left) <= 42
+    assert spark.read.parquet(out).where("k = 'daily'").count() == 4
+    assert spark.read.parquet(out).count() == 84
