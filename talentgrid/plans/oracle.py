@@ -160,16 +160,24 @@ check("flatten_postings_json", """SELECT CAST(o_orderkey AS VARCHAR) AS slug,
     CAST(0 AS INTEGER) AS same_as FROM full_orders""")
 # An id of 0 counts as no id.
 PARTS["identified_orders"] = "SELECT * FROM full_orders WHERE o_orderkey <> 0"
+check("rejected_postings_json", """SELECT o_orderkey AS page, CAST(1 AS INTEGER) AS entry,
+    'no company' AS reason FROM full_orders WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, NULL, CASE o_orderkey % 2 WHEN 0 THEN 'no JSON' ELSE 'other JSON' END
+    FROM full_orders WHERE o_orderkey % 3 = 0""")
 check("normalize_star_json", """
-    SELECT DISTINCT 'companies' AS table_name, CAST(o_custkey AS VARCHAR) AS row_key, c_name AS detail FROM identified_orders
-    UNION ALL SELECT DISTINCT 'countries', CAST(n_nationkey + 1 AS VARCHAR), CAST(n_nationkey % 5 AS VARCHAR) FROM identified_orders
-    UNION ALL SELECT DISTINCT 'locations', CAST(n_nationkey + 100 AS VARCHAR), 'XX' FROM identified_orders
-    UNION ALL SELECT 'job_locations', CAST(o_orderkey AS VARCHAR), CAST(n_nationkey + 100 AS VARCHAR) FROM identified_orders
-    UNION ALL SELECT 'jobs', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR) FROM identified_orders
-    UNION ALL SELECT DISTINCT 'types', CAST(ascii(o_orderstatus) AS VARCHAR), o_orderstatus FROM identified_orders
-    UNION ALL SELECT DISTINCT 'types', CAST(ascii(o_orderpriority) AS VARCHAR), o_orderpriority FROM identified_orders
-    UNION ALL SELECT 'job_to_types', CAST(o_orderkey AS VARCHAR), CAST(ascii(o_orderstatus) AS VARCHAR) FROM identified_orders
-    UNION ALL SELECT 'job_to_types', CAST(o_orderkey AS VARCHAR), CAST(ascii(o_orderpriority) AS VARCHAR) FROM identified_orders""")
+    SELECT DISTINCT 'companies' AS table_name, o_custkey || '|-|' || c_name || '|-|-|-|-|-|false' AS columns FROM identified_orders
+    UNION ALL SELECT DISTINCT 'countries', (n_nationkey + 1) || '|-|' || n_name || '|' || n_nationkey % 5 || '|-' FROM identified_orders
+    UNION ALL SELECT DISTINCT 'locations', (n_nationkey + 100) || '|-|' || n_name || '|XX|-|-|-|-|0' FROM identified_orders
+    UNION ALL SELECT 'job_locations', o_orderkey || '|' || (n_nationkey + 100) FROM identified_orders
+    UNION ALL SELECT 'jobs', o_orderkey || '|x' || o_orderkey || '|' || o_custkey || '|' || coalesce(title, '-') || '|-|-|'
+        || o_orderpriority || '|-|-|' || CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END || '|'
+        || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '|' || coalesce(CAST(salary_min AS VARCHAR), '-') || '|'
+        || coalesce(CAST(salary_max AS VARCHAR), '-') || '|-' FROM identified_orders
+    UNION ALL SELECT DISTINCT 'types', ascii(o_orderstatus) || '|' || o_orderstatus FROM identified_orders
+    UNION ALL SELECT DISTINCT 'types', ascii(o_orderpriority) || '|' || o_orderpriority FROM identified_orders
+    UNION ALL SELECT 'job_to_types', o_orderkey || '|' || ascii(o_orderstatus) FROM identified_orders
+    UNION ALL SELECT 'job_to_types', o_orderkey || '|' || ascii(o_orderpriority) FROM identified_orders
+    UNION ALL SELECT 'rejected', o_orderkey || '|no id' FROM full_orders WHERE o_orderkey = 0""")
 
 PARTS["pivot_cells"] = f"""SELECT {_DIMS}, skill, count(DISTINCT job_id) AS mentions
     FROM skill_rows GROUP BY ALL"""

@@ -141,6 +141,16 @@ def flatten_postings_json(spark, sf_dir):
     )
 
 
+@query
+def rejected_postings_json(spark, sf_dir):
+    """Of the pages, every third cut short or no list; of the others the entry without a company."""
+    pages = _payload(spark, sf_dir)
+    half = F.substring("payload", F.lit(1), (F.length("payload") / 2).cast("int"))
+    broken = F.when(F.col("page") % 2 == 0, half).otherwise(F.lit('"no list"'))
+    pages = pages.withColumn("payload", F.when(F.col("page") % 3 == 0, broken).otherwise(F.col("payload")))
+    return payloads.rejected_entries(pages, "payload", "page").select("page", "entry", "reason")
+
+
 @query
 def normalize_star_json(spark, sf_dir):
     orders = P.orders_in_full(spark, sf_dir, skills=False)
@@ -149,6 +159,11 @@ def normalize_star_json(spark, sf_dir):
         F.col("o_orderkey").alias("id"),
         F.struct(F.col("o_custkey").alias("id"), F.col("c_name").alias("name")).alias("company"),
         P.raw_title().alias("title"),
+        F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).alias("ext_id"),
+        F.col("o_orderpriority").alias("experience_level"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("has_remote"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"),
+        *[c.alias(name) for name, c in P._salary_columns().items()],
         F.array(
             F.struct(F.ascii("o_orderstatus").alias("id"), F.col("o_orderstatus").alias("name")),
             F.struct(F.ascii("o_orderpriority").alias("id"),
@@ -165,18 +180,16 @@ def normalize_star_json(spark, sf_dir):
     )
     raw = orders.select(F.col("o_orderkey").alias("line"), F.to_json(doc).alias("doc"))
     star = payloads.normalize_star(raw, "doc", "line")
-    keys = {
-        "companies": ("id", "name"), "types": ("id", "name"),
-        "job_to_types": ("job_id", "type_id"), "countries": ("id", "region_id"),
-        "locations": ("geonameid", "country_code"), "job_locations": ("job_id", "geonameid"),
-        "jobs": ("id", "company_id"),
-    }
     out = None
-    for name, (first, second) in keys.items():
-        part = star[name].select(
-            F.lit(name).alias("table_name"), F.col(first).cast("string").alias("row_key"),
-            F.col(second).cast("string").alias("detail"),
-        )
+    for name, rows in star.items():
+        rows = rows.drop("length")
+        # Every column in the table's order, - for null.
+        written = [
+            F.coalesce(F.date_format(f.name, "yyyy-MM-dd HH:mm:ss") if f.dataType.typeName() == "timestamp"
+                       else F.col(f.name).cast("string"), F.lit("-"))
+            for f in rows.schema
+        ]
+        part = rows.select(F.lit(name).alias("table_name"), F.concat_ws("|", *written).alias("columns"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentgrid.functions.dates import parse_moment
 from talentgrid.functions.skills import split_csv
@@ -18,17 +19,62 @@ SKILL_FIELDS = {
 }
 
 
-def payload_entries(pages: DataFrame, json: str, order: str) -> DataFrame:
-    """One row per posting entry of each page, entries lacking job or company left out."""
-    entries = pages.select(
-        order, F.posexplode(F.from_json(json, schemas.PAYLOAD)).alias("_at", "entry")
+def _unread(json: str, parsed: Column) -> Column:
+    """Why a text gave nothing, or null if it did."""
+    return (
+        F.when(F.trim(F.coalesce(json, F.lit(""))) == "", "empty")
+        .when(parsed.isNotNull(), None)
+        .when(F.try_parse_json(json).isNull(), "no JSON")
+        .otherwise("other JSON")
+    )
+
+
+def classified_entries(pages: DataFrame, json: str, order: str) -> DataFrame:
+    """Every entry of every page, and every page that can't be read, with a reason.
+
+    ``reason`` is null for a whole entry. A page is rejected as "empty", "no JSON" or
+    "other JSON" (no list of entries), an entry for "no job", "no company" or "no slug".
+    ``length`` has the characters of the page. A page is parsed once.
+    """
+    parsed = pages.select(
+        order, F.length(json).alias("length"), F.from_json(json, schemas.PAYLOAD).alias("_entries"),
+        F.col(json).alias("_text"),
     )
+    entries = parsed.select(
+        order, "length", _unread("_text", F.col("_entries")).alias("_page"),
+        F.posexplode_outer("_entries").alias("_at", "entry"),
+    ).where(F.col("_page").isNotNull() | F.col("_at").isNotNull())
     shaped = entries.select(
-        F.struct(order, "_at").alias("ordinal"),
+        F.struct(order, "_at").alias("ordinal"), "length", "_page",
         F.col("entry.job").alias("job"), F.col("entry.company").alias("company"),
         F.col("entry.location").alias("location"), F.col("entry.types").alias("types"),
     )
-    return shaped.where(_holds_anything(shaped, "job") & _holds_anything(shaped, "company"))
+    reason = (
+        F.when(F.col("_page").isNotNull(), F.col("_page"))
+        .when(~_holds_anything(shaped, "job"), "no job")
+        .when(~_holds_anything(shaped, "company"), "no company")
+        .when(F.coalesce("job.slug", F.lit("")) == "", "no slug")
+    )
+    return shaped.withColumn("reason", reason).drop("_page")
+
+
+def payload_entries(pages: DataFrame, json: str, order: str) -> DataFrame:
+    """One row per posting entry of each page, entries lacking job or company left out.
+
+    One without a slug names its company, but is no job.
+    """
+    classified = classified_entries(pages, json, order)
+    return classified.where(F.col("reason").isNull() | (F.col("reason") == "no slug")).drop(
+        "length", "reason"
+    )
+
+
+def rejected_entries(pages: DataFrame, json: str, order: str) -> DataFrame:
+    """(page, entry, reason, length): what gave no job row; entry is null for a whole page."""
+    rejected = classified_entries(pages, json, order).where(F.col("reason").isNotNull())
+    return rejected.select(
+        F.col(f"ordinal.{order}").alias(order), F.col("ordinal._at").alias("entry"), "reason", "length"
+    )
 
 
 def _holds_anything(df: DataFrame, struct: str) -> Column:
@@ -92,30 +138,49 @@ def distinct_skill_details(details: DataFrame) -> DataFrame:
 
 
 def flatten_postings(pages: DataFrame, json: str, order: str) -> dict[str, DataFrame]:
-    """companies, jobs and job_skills_detail of a payload, lazily."""
+    """companies, jobs, job_skills_detail and rejected entries of a payload, lazily.
+
+    Every entry of a page is a job row or rejected.
+    """
     entries = payload_entries(pages, json, order)
     jobs = jobs_from_entries(entries)
     return {
         "companies": companies_from_entries(entries),
         "jobs": jobs,
         "job_skills_detail": distinct_skill_details(unpivot_skill_arrays(jobs)),
+        "rejected": rejected_entries(pages, json, order),
     }
 
 
 def normalize_star(raw: DataFrame, json: str, order: str) -> dict[str, DataFrame]:
-    """Seven normalized tables of the second source, first row per key.
+    """Seven normalized tables of the second source, first row per key, and rejected lines.
 
-    Postings without an id, and repeats of one, are left out before anything else.
-    The parsed postings are staged once: the seven tables then read only the
-    columns they need instead of parsing the text seven times.
+    Postings without an id, and repeats of one, are left out before anything else; the
+    lines without one, or that can't be read, are in ``rejected``. The nested keys and names
+    are parsed alone and staged for the six tables that read them; the texts of jobs are
+    parsed for the jobs table, and no copy of them is stored. ``order`` tells lines apart.
     """
-    parsed = raw.select(F.col(order).alias("ordinal"),
-                        F.from_json(json, schemas.STAR_POSTING).alias("p"))
-    postings = top_per_group(
-        parsed.where(F.coalesce(F.col("p.id"), F.lit(0)) != 0).withColumn("id", F.col("p.id")),
-        ["id"], [F.asc("ordinal")],
+    whole = T.StructType.fromDDL(f"p {schemas.STAR_POSTING}")["p"].dataType
+    lists = ("company", "types", "countries", "cities")
+
+    def first_postings(*fields: str) -> DataFrame:
+        kept = T.StructType([f for f in whole if f.name in ("id", *fields)])
+        parsed = raw.select(F.col(order).alias("ordinal"), F.from_json(json, kept).alias("p"))
+        identified = parsed.where(F.coalesce(F.col("p.id"), F.lit(0)) != 0)
+        return top_per_group(identified.withColumn("id", F.col("p.id")), ["id"], [F.asc("ordinal")])
+
+    postings = settle(first_postings(*lists), "star-postings")
+    texts = first_postings("company", *[f.name for f in whole if f.name not in lists])
+    texts = texts.withColumn("p", F.col("p").withField("company_id", F.col("p.company.id")))
+    read = raw.select(
+        F.col(order).alias("line"), F.col(json).alias("_text"), F.length(json).alias("length"),
+        F.from_json(json, T.StructType([whole["id"]])).alias("p"),
+    )
+    reason = F.coalesce(
+        _unread("_text", F.when(F.try_parse_json("_text").isNotNull(), F.col("p"))),
+        F.when(F.coalesce(F.col("p.id"), F.lit(0)) == 0, "no id"),
     )
-    postings = settle(postings, "star-postings")
+    rejected = read.select("line", reason.alias("reason"), "length").where("reason IS NOT NULL")
 
     def nested(field: str, key: str) -> DataFrame:
         items = postings.select("id", "ordinal", F.posexplode(f"p.{field}").alias("at", "item"))
@@ -159,9 +224,10 @@ def normalize_star(raw: DataFrame, json: str, order: str) -> dict[str, DataFrame
         "job_locations": cities.select(
             F.col("id").alias("job_id"), item["geonameid"].alias("geonameid")
         ).distinct(),
-        "jobs": postings.select(
+        "rejected": rejected,
+        "jobs": texts.select(
             "id",
-            F.col("p.ext_id").alias("ext_id"), F.col("p.company.id").alias("company_id"),
+            F.col("p.ext_id").alias("ext_id"), F.col("p.company_id").alias("company_id"),
             *[F.col(f"p.{c}").alias(c)
               for c in ("title", "location", "description", "experience_level",
                         "application_url", "language")],

@@ -148,3 +148,34 @@ def test_the_curve_visits_neighbours(dims, bits):
     assert sorted(keys) == list(range(len(grid)))
     steps = np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1)
     assert set(steps.tolist()) == {1}
+
+
+def test_ids_of_every_settled_character_and_of_others():
+    ids = tokens.ByteIds(tokens.tokenizer_file(BYTES))
+    assert ids.fast is not None
+    texts = []
+    for code in [*range(0x600), *range(0x2000, 0x2800), *range(0x3000, 0x3100), *range(0x4E00, 0x9FB0, 97), *range(0xAC00, 0xD7B0, 89),
+                 *range(0xFF00, 0xFFF0), *range(0x1F300, 0x1FA00, 3), *range(0x10400, 0x10450), 0xA7CE, 0x2EBF0, 0x1E4D0]:
+        c = chr(code)
+        texts.append(f"a{c}b 1{c} {c}{c}x  {c}'s \n{c} {c}2{c}")
+    assert [x.tolist() for x in ids.ids(texts)] == whole(BYTES, texts)
+    assert sum(tokens._UNSETTLED.search(t) is not None for t in texts) > 100
+    ids.fast = None
+    assert [x.tolist() for x in ids.ids(texts[:300])] == whole(BYTES, texts[:300])
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab1" * 100_000, " " * 300_000, "\n" * 200_000 + "x", "é$" * 100_000, "'s" * 100_000])
+def test_ids_of_long_runs(text):
+    assert tokens.token_ids([text], tokens.tokenizer_file(BYTES))[0].tolist() == whole(BYTES, [text])[0]
+
+
+def test_other_vocabularies_take_the_library():
+    import json
+    from pathlib import Path
+
+    file = json.loads(Path(tokens.tokenizer_file(BYTES)).read_text())
+    assert tokens.ByteIds._encoding(file) is not None
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None},
+                   {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}},
+                   {"model": {**file["model"], "merges": file["model"]["merges"][::-1]}}):
+        assert tokens.ByteIds._encoding({**file, **change}) is None

@@ -50,7 +50,7 @@ def test_star_first_wins(spark):
                                  (4, json.dumps({"title": "no id"}))], "line int, body string")
     star = payloads.normalize_star(raw, "body", "line")
     assert {n: df.count() for n, df in star.items()} == {
-        "companies": 1, "types": 1, "job_to_types": 2, "countries": 1, "locations": 1,
+        "rejected": 1, "companies": 1, "types": 1, "job_to_types": 2, "countries": 1, "locations": 1,
         "job_locations": 2, "jobs": 2}
     assert star["companies"].collect()[0]["name"] == "first"
     assert star["types"].collect()[0]["name"] == "first"
@@ -225,3 +225,34 @@ def test_state_ends_with_the_session(spark, tmp_path):
     assert max(left) <= 42
     assert spark.read.parquet(out).where("k = 'daily'").count() == 4
     assert spark.read.parquet(out).count() == 84
+
+
+def test_every_entry_is_a_job_or_rejected(spark):
+    job = {"job": {"slug": "a"}, "company": {"slug": "c"}}
+    entries = [job, {"job": {}, "company": {"slug": "c"}}, {"job": {"slug": "b"}}, {"job": {"title": "t"}, "company": {"slug": "w"}},
+               None, {"job": {"slug": "d"}, "company": {"slug": "c"}}]
+    whole = json.dumps(entries)
+    pages = [(1, whole), (2, whole[:-20]), (3, None), (4, "  "), (5, '"text"'), (6, "[]"), (7, "{{"), (8, json.dumps([job]))]
+    df = spark.createDataFrame(pages, "page int, body string")
+    flat = payloads.flatten_postings(df, "body", "page")
+    rejected = {(r.page, r.entry): r.reason for r in flat["rejected"].collect()}
+    assert rejected == {
+        (1, 1): "no job", (1, 2): "no company", (1, 3): "no slug", (1, 4): "no job", (2, None): "no JSON",
+        (3, None): "empty", (4, None): "empty", (5, None): "other JSON", (7, None): "no JSON",
+    }
+    assert {r.length for r in flat["rejected"].where("page = 1").collect()} == {len(whole)}
+    # Entries in are rows out and rejected ones; pages that were read are the rest.
+    assert flat["jobs"].count() + sum(k[1] is not None for k in rejected) == len(entries) + 1
+    assert {r.slug for r in flat["companies"].collect()} == {"c", "w"}
+    plan = payloads.classified_entries(df, "body", "page")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(ArrayType") <= 1
+
+
+def test_lines_of_the_second_source_are_read_or_rejected(spark):
+    lines = [(1, json.dumps({"id": 5, "title": "t"})), (2, '{"id": 6'), (3, ""), (4, "{}"), (5, None), (6, "[1]"),
+             (7, json.dumps({"id": 0})), (8, json.dumps({"id": 5, "title": "again"})), (9, json.dumps({"title": "none"}))]
+    star = payloads.normalize_star(spark.createDataFrame(lines, "line int, body string"), "body", "line")
+    got = {r.line: r.reason for r in star["rejected"].collect()}
+    assert got == {2: "no JSON", 3: "empty", 4: "no id", 5: "empty", 6: "no id", 7: "no id", 9: "no id"}
+    assert [(r.id, r.title) for r in star["jobs"].collect()] == [(5, "t")]
+    assert len(got) + 2 == len(lines)
