@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from talentgrid import fixed_values as fv
+from talentgrid.operators import salaries
 from talentgrid.plans import projection as P
 
 PARTS: dict[str, str] = {}
@@ -51,7 +52,7 @@ def with_parts(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
-    return ("WITH RECURSIVE " if "cluster_walk" in needed else "WITH ") + ",\n".join(f"{n} AS ({PARTS[n]})" for n in needed) + "\n" + sql
+    return ("WITH RECURSIVE " if {"cluster_walk", "solve_walk"} & set(needed) else "WITH ") + ",\n".join(f"{n} AS ({PARTS[n]})" for n in needed) + "\n" + sql
 
 
 def check(name: str, sql: str, doubles: str | list[str] = "") -> None:
@@ -787,6 +788,12 @@ check("job_skill_matrix", "SELECT job_id, " + ", ".join(
     f"""CAST(list_contains(skills, '{s}') AS INTEGER) AS "{s}\""""
     for s in sorted({v.strip().lower() for v in P.SKILL_OF_TOKEN.values()}))
     + f", {_CONTROLS} FROM postings")
+PARTS["ranked_skills"] = """SELECT row_number() OVER (ORDER BY count(*) DESC, skill) - 1 AS index, skill,
+    count(*) AS jobs FROM skill_rows GROUP BY skill HAVING count(*) >= 5"""
+check("skill_dictionary", "SELECT * FROM ranked_skills")
+check("job_skill_vectors", f"""SELECT job_id, coalesce(indices, '') AS indices, {_CONTROLS} FROM postings LEFT JOIN (
+    SELECT job_id, string_agg(CAST(index AS VARCHAR), ',' ORDER BY index) AS indices
+    FROM skill_rows JOIN ranked_skills USING (skill) GROUP BY job_id) USING (job_id)""")
 PARTS["residual_skill"] = """SELECT skill, count(*) AS n, sum(residual) AS s FROM residual_rows
     GROUP BY skill HAVING count(*) >= 5"""
 PARTS["residual_all"] = "SELECT count(*) AS n, sum(residual) AS s FROM residuals"
@@ -803,8 +810,37 @@ PARTS["interactions"] = """SELECT skill_1, skill_2, n_ab AS jobs,
 _INTERACTIONS = """SELECT * FROM interactions WHERE synergy IS NOT NULL
     ORDER BY abs(synergy) DESC, skill_1, skill_2 LIMIT 20"""
 check("skill_interactions", _INTERACTIONS, "synergy")
+# Ridge regression of the residual: normal equations of centred features, solved by
+# Gauss and Jordan, one column a step; the right-hand side is the last column.
+PARTS["effect_rows"] = """SELECT job_id, residual, unnest(list_concat(list_transform(skills, lambda s: 'skill=' || s),
+        ['work_mode=' || coalesce(work_mode, 'Unknown'), 'job_type=' || coalesce(job_type, 'Unknown')])) AS feature
+    FROM residuals"""
+PARTS["effect_n"] = """SELECT feature, count(*) AS n, sum(residual) AS s, row_number() OVER (ORDER BY feature) AS i
+    FROM effect_rows GROUP BY feature HAVING count(*) >= 5"""
+PARTS["effect_pairs"] = """SELECT x.i, y.i AS j, count(*) AS together FROM effect_rows a JOIN effect_rows b USING (job_id)
+    JOIN effect_n x ON x.feature = a.feature JOIN effect_n y ON y.feature = b.feature GROUP BY ALL"""
+PARTS["effect_cells"] = f"""SELECT x.i, y.i AS j, coalesce(together, 0) - x.n * y.n / a.n
+        + CASE WHEN x.i = y.i THEN {salaries.RIDGE} ELSE 0 END AS v
+    FROM effect_n x CROSS JOIN effect_n y LEFT JOIN effect_pairs p ON p.i = x.i AND p.j = y.i, residual_all a
+    UNION ALL SELECT i, (SELECT count(*) + 1 FROM effect_n), x.s - x.n * a.s / a.n FROM effect_n x, residual_all a"""
+PARTS["effect_lists"] = """SELECT list(line ORDER BY i) AS m FROM (
+    SELECT i, list(CAST(v AS DOUBLE) ORDER BY j) AS line FROM effect_cells GROUP BY i)"""
+PARTS["solve_walk"] = """SELECT CAST(0 AS BIGINT) AS step, m FROM effect_lists
+    UNION ALL SELECT step + 1, list_transform(m, lambda line, i: CASE WHEN i = step + 1
+        THEN list_transform(line, lambda x: x / line[step + 1])
+        ELSE list_transform(line, lambda x, j: x - line[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) END)
+    FROM solve_walk WHERE step < len(m)"""
+PARTS["effects"] = """SELECT feature, n, s, m[i][len(m) + 1] AS b FROM effect_n,
+    (SELECT m FROM solve_walk WHERE step = len(m))"""
+check("skill_effects", """SELECT feature, jobs, round(b, 3) + 0.0 AS coefficient FROM (SELECT feature, n AS jobs, b FROM effects
+    UNION ALL SELECT '(intercept)', a.n, (a.s - (SELECT coalesce(sum(b * n), 0) FROM effects)) / a.n FROM residual_all a)""")
+# With (C + ridge) b = r the squares left are those of the target less b r and ridge b b.
+PARTS["effects_r2"] = f"""SELECT a.n AS jobs, (SELECT sum(b * (e.s - e.n * a.s / a.n) + {salaries.RIDGE} * b * b) FROM effects e)
+    / (SELECT var_pop(residual) * count(*) FROM residuals) AS r2 FROM residual_all a"""
+check("skill_residual_model", "SELECT jobs, r2 FROM effects_r2", "r2")
 check("salary_two_stage", f"""SELECT 'baseline_r2' AS part, CAST(NULL AS VARCHAR) AS skill, CAST(NULL AS VARCHAR) AS other,
         1 - sum(residual * residual) / (var_pop(salary) * count(*)) AS value FROM residuals
+    UNION ALL SELECT 'skill_r2', NULL, NULL, r2 FROM effects_r2
     UNION ALL SELECT 'skill_premiums', skill, NULL, dollar_premium FROM premiums
     UNION ALL SELECT 'skill_interactions', skill_1, skill_2, synergy FROM ({_INTERACTIONS})""", "value")
 

@@ -1138,7 +1138,20 @@ def job_skill_rows(spark, sf_dir):
 
 @query
 def job_skill_matrix(spark, sf_dir):
-    return salaries.job_skill_matrix(P.postings(spark, sf_dir), controls=P.CONTROLS)
+    listed = sorted({v.strip().lower() for v in P.SKILL_OF_TOKEN.values()})
+    return salaries.job_skill_matrix(P.postings(spark, sf_dir), listed, P.CONTROLS)
+
+
+@query
+def skill_dictionary(spark, sf_dir):
+    return salaries.skill_dictionary(P.postings(spark, sf_dir))
+
+
+@query
+def job_skill_vectors(spark, sf_dir):
+    rows = P.postings(spark, sf_dir)
+    vectors = salaries.job_skill_vectors(rows, salaries.skill_dictionary(rows), P.CONTROLS)
+    return vectors.withColumn("indices", F.array_join(F.col("indices").cast("array<string>"), ","))
 
 
 @query
@@ -1147,6 +1160,12 @@ def skill_residual_model(spark, sf_dir):
     return salaries.residual_fit(salaries.skill_residual_model(fitted, P.CONTROLS))
 
 
+@query
+def skill_effects(spark, sf_dir):
+    effects = salaries.skill_effects(_residuals(spark, sf_dir), P.CONTROLS)
+    return effects.withColumn("coefficient", F.round("coefficient", 3))
+
+
 @query
 def skill_premium(spark, sf_dir):
     return salaries.skill_premium(_residuals(spark, sf_dir))
@@ -1173,7 +1192,11 @@ def salary_two_stage(spark, sf_dir):
         F.lit("skill_interactions").alias("part"), F.col("skill_1").alias("skill"),
         F.col("skill_2").alias("other"), F.col("synergy").alias("value"),
     )
-    return fit.unionByName(premiums).unionByName(joint)
+    explained = parts.skill_r2().select(
+        F.lit("skill_r2").alias("part"), none.alias("skill"), none.alias("other"),
+        F.col("r2").alias("value"),
+    )
+    return fit.unionByName(explained).unionByName(premiums).unionByName(joint)
 
 
 # Quality ---------------------------------------------------------------------------
