@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talentgrid.llm import mixing, neardup, packing, pii, quality, queries, tokens
-from talentgrid.session import settle
+from talentgrid.session import scratch, settle
+from talentgrid.sources import stores
 
 #: The share of all tokens that mixing keeps in expectation.
 KEPT_SHARE = 0.5
@@ -53,9 +54,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each is stored and read again."""
+    """All stages over the documents of ``sf_dir``; each is stored and read again.
+
+    What a stage stores for itself goes when its result is written, and that when the next
+    one's is: in the end there is one folder, that of the pieces.
+    """
     queries.workers_find_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before: list[str] = []
+    for name, stage in STAGES:
+        with scratch(spark):
+            docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        for folder in before:
+            stores.remove(spark, folder)
+        before = [docs.inputFiles()[0].rpartition("/")[0]] if docs.inputFiles() else []
+    return docs
