@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talentgrid.llm.common import no_null
+from talentgrid.session import settle
 
 #: n-grams of one to this many characters, each hashed to one of 2^SLOT_BITS slots.
 LONGEST, SLOT_BITS = 4, 17
 #: Bounds of the fit, whatever the corpus: rows it learns from, and landmarks among them.
 TRAINING_ROWS, LANDMARKS = 1000, 192
+#: First bits of the hash order by which rows are counted.
+ORDER_BITS = 12
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -154,10 +157,19 @@ def training_rows(docs: DataFrame, usable: Column, most: int = TRAINING_ROWS) ->
         F.col("lang").cast("string").alias("lang"), no_null().alias("text"), "doc_id"
     ).where(F.col("text").rlike("\\p{L}"))
     named = named.withColumn("order", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    # Chosen by narrow rows, of which each task keeps the first of a language; only the
-    # chosen ones meet their texts.
+    # Chosen by narrow rows; only the chosen ones meet their texts. The order is a hash: rows
+    # are counted by its first bits, and those beyond the bits that hold ``most`` rows of a
+    # language go before any are ranked. So a language's task gets little more than ``most``.
+    narrow = settle(named.select("lang", "order").distinct(), "training-order")
+    bits = F.shiftright("order", 64 - ORDER_BITS)
+    counted = narrow.groupBy("lang", bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("lang").orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(
+        F.col("before") < most
+    )
+    few = narrow.withColumn("bits", bits).join(wanted.select("lang", "bits"), ["lang", "bits"])
     each = Window.partitionBy("lang").orderBy("order")
-    turns = named.select("lang", "order").distinct().withColumn("turn", F.row_number().over(each))
+    turns = few.withColumn("turn", F.row_number().over(each)).select("lang", "order", "turn")
     chosen = turns.where(F.col("turn") <= most).orderBy("turn", "lang").limit(most)
     placed = chosen.withColumn("place", F.row_number().over(Window.orderBy("turn", "lang")))
     # ``most`` rows at most; repeated rows count once.

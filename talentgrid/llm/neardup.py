@@ -23,8 +23,12 @@ BAND = 5
 #: Of the 120 low bits of the signature, a pair at 0.85 agrees on 111 in the mean with a
 #: deviation of 2.9; fewer than this is more than six deviations away.
 AGREEING_BITS = 92
-#: Rows of a shared band that are compared with as many others at a time.
-BLOCK = 256
+#: The least similarity, in percent, that permutations, bands and bits serve. At 80 a pair
+#: shares no band with probability 7.3e-5, and bits rule it out with 5.7e-6.
+LEAST_PERCENT = 80
+#: Rows of a shared band that are compared with as many others at a time, and shingles of
+#: those rows: long texts make smaller blocks.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 
 _SIGNED = (
     "doc_id long, n_shingles long, content binary, low bigint, high bigint, bands array<bigint>"
@@ -203,6 +207,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        one is compared with all rows of the others on full sets, block by block, so no pair
        that shares a band is left out whatever the group's size.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be {LEAST_PERCENT} to 100: below, bands would lose links")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), no_null().alias("text"))
     signed = settle(rows.mapInArrow(_signer(width), _SIGNED), "signatures")
@@ -337,16 +343,25 @@ def _crossing_links(
     placed = members.where("rows > 2").select("key", "first", "x.*").join(
         grouped.select(F.col("node").alias("id"), F.col("label").alias("group")), "id", "left"
     ).withColumn("group", F.coalesce("group", "id"))
-    per_group = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("rows"))
+    per_group = placed.groupBy("key", "group").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")
+    )
+
+    def blocks(rows: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    largest = F.struct("rows", "group")
     mixed = (
         per_group.groupBy("key").agg(
             F.sum("rows").alias("all"), F.max("rows").alias("most"), F.count(F.lit(1)).alias("groups"),
-            F.max_by("group", F.struct("rows", "group")).alias("largest"),
+            F.max_by("group", largest).alias("largest"), F.sum("shingles").alias("all_shingles"),
+            F.max_by("shingles", largest).alias("most_shingles"),
         )
         .where("groups > 1")
         .select(
-            "key", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("inner_blocks"),
-            F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("outer_blocks"),
+            "key", "largest", blocks(F.col("all"), F.col("all_shingles")).alias("inner_blocks"),
+            blocks(F.col("all") - F.col("most"), F.col("all_shingles") - F.col("most_shingles"))
+            .alias("outer_blocks"),
         )
     )
     there = settle(placed.join(mixed, "key"), "mixed")

@@ -70,3 +70,18 @@ def test_the_sample_is_bounded_and_balanced(spoken):
     for lang, _ in rows:
         counts[lang] = counts.get(lang, 0) + 1
     assert set(counts.values()) == {10}
+
+
+@pytest.mark.parametrize("most", [1, 7, 60, 10_000])
+def test_training_rows_are_the_first_by_hash(spark, spoken, monkeypatch, most):
+    """Whatever the bits by which rows are counted first; compared with a plain choice."""
+    rows = spoken.where("lang IS NOT NULL AND text RLIKE '[a-z]'").selectExpr(
+        "lang", "xxhash64(CAST(doc_id AS string), text) AS o").distinct().collect()
+    by_lang = {}
+    for r in sorted(rows, key=lambda r: r.o):
+        by_lang.setdefault(r.lang, []).append(r.o)
+    turns = sorted((i, lang) for lang, own in by_lang.items() for i in range(len(own)))[:most]
+    want = [lang for _, lang in turns]
+    for bits in (1, 12):
+        monkeypatch.setattr(lid, "ORDER_BITS", bits)
+        assert [lang for lang, _ in lid.training_rows(spoken, lid.F.lit(True), most)] == want

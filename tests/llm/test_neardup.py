@@ -132,3 +132,28 @@ def test_one_of_each_group_stays_with_its_columns(messy_wide):
     assert kept.columns == messy_wide.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and 2 not in ids and 3 not in ids and {4, 5, 6, 7} <= set(ids) and None in ids
+
+
+@pytest.mark.parametrize("percent", [0, 50, 79, 101])
+def test_similarities_that_bands_do_not_serve_are_refused(messy, percent):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(messy, 5, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_long_texts_in_small_blocks(spark, monkeypatch, percent):
+    """Many near copies of one text and of another: blocks are cut by rows and by shingles."""
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(2):
+        base = draw.choices(words, k=120)
+        for i in range(30):
+            own = list(base)
+            for _ in range(draw.randint(0, 5)):
+                own[draw.randrange(120)] = draw.choice(words)
+            rows.append((len(rows), " ".join(own)))
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, 3, percent) == plain(rows, 3, percent)

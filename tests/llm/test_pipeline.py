@@ -5,6 +5,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from talentgrid.llm import neardup  # noqa: E402
+from talentgrid.session import shared_folder  # noqa: E402
 
 
 def test_stages_on_messy_rows(spark, messy_wide, nothing):
@@ -47,3 +48,11 @@ def test_run_packs_what_the_stages_keep(spark):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()} != set()
     total = sum(r.length for r in pieces)
     assert max(r.sequence_id for r in pieces) == (total - 1) // 2048
+
+
+def test_a_run_leaves_one_folder(spark):
+    work = Path(shared_folder(spark, "x").removeprefix("file:")).parent
+    before = set(work.glob("*"))
+    pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [p.name.rpartition("-")[0] for p in set(work.glob("*")) - before] == ["sequence-packing"]
+    assert pieces.count() > 0
