@@ -11,6 +11,8 @@ from talentgrid.session import settle
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS, FLATTENING, TOPICS = 10, 0.5, 8
+#: The share of all tokens that the query keeps in expectation.
+SHARE = 0.5
 #: With a token budget, values below this share of all tokens are one level of their margin.
 LEAST_SHARE = 0.001
 #: The name of that level; no value is called so ("" or "=..." or a digit).

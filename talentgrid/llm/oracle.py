@@ -65,15 +65,27 @@ def quality_sql() -> str:
 
 
 def mixing_sql() -> str:
-    """Cells, targets, every scaling step of the fit, and the draw."""
+    """Cells, levels, targets, every scaling step of the fit, the budget, and the draw."""
     value = "coalesce('=' || CAST({0} AS VARCHAR), '') AS {0}"
     parts = [
         f"worded AS (SELECT doc_id, {value.format('source')}, {value.format('lang')}, {_WORDS} AS words FROM documents)",
         "longest AS (SELECT *, list_sort(list_transform(words, lambda w: {'n': length(w), 'w': w}), 'DESC')[1].w AS word FROM worded)",
         f"""weighed AS (SELECT doc_id, source, lang, len(words) + 1 AS tokens, CASE WHEN word IS NULL THEN '0'
             ELSE CAST(CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % {mixing.TOPICS} AS VARCHAR) END AS topic FROM longest)""",
-        "w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, "
-        "CAST(sum(tokens) AS DOUBLE) AS weight FROM weighed GROUP BY ALL)",
+        "found AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM weighed GROUP BY ALL)",
+        "every AS MATERIALIZED (SELECT CAST(sum(tokens) AS DOUBLE) AS total FROM found)",
+    ]
+    # Values of few tokens are one level of their margin.
+    for m in mixing.MARGINS:
+        parts.append(
+            f"level_{m} AS MATERIALIZED (SELECT {m}, CASE WHEN sum(tokens) < {mixing.LEAST_SHARE} * any_value(total) "
+            f"THEN '{mixing.POOLED}' ELSE {m} END AS l_{m} FROM found, every GROUP BY {m})"
+        )
+    parts += [
+        "named AS MATERIALIZED (SELECT * FROM found JOIN level_source USING (source) JOIN level_lang USING (lang) "
+        "JOIN level_topic USING (topic))",
+        "w0 AS MATERIALIZED (SELECT l_source AS source, l_lang AS lang, l_topic AS topic, CAST(sum(tokens) AS BIGINT) AS tokens, "
+        "CAST(sum(tokens) AS DOUBLE) AS weight FROM named GROUP BY ALL)",
     ]
     for m in mixing.MARGINS:
         parts.append(
@@ -88,9 +100,18 @@ def mixing_sql() -> str:
                 f"FROM w{step} c JOIN (SELECT {m}, sum(weight) AS s FROM w{step} GROUP BY {m}) USING ({m}) JOIN target_{m} USING ({m}))"
             )
             step += 1
-    parts.append(
-        f"cells AS (SELECT source, lang, topic, weight / tokens AS ratio, weight / tokens / max(weight / tokens) OVER () AS p FROM w{step})"
-    )
+    # The chance is the ratio times one factor, cut at 1: of the cells by falling ratio those
+    # before the first that stays below 1 are whole, and the factor shares out the rest.
+    parts += [
+        f"""rated AS MATERIALIZED (SELECT n.source, n.lang, n.topic, n.tokens, w.weight / w.tokens AS ratio FROM named n
+            JOIN w{step} w ON w.source = l_source AND w.lang = l_lang AND w.topic = l_topic)""",
+        f"""factors AS (SELECT ratio, ({mixing.SHARE} * total - coalesce(sum(tokens) OVER (ORDER BY ratio DESC
+            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0))
+            / sum(tokens * ratio) OVER (ORDER BY ratio DESC RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor
+            FROM rated, every WHERE ratio > 0)""",
+        "scale AS MATERIALIZED (SELECT factor FROM factors WHERE factor * ratio < 1 ORDER BY ratio DESC LIMIT 1)",
+        "cells AS (SELECT source, lang, topic, ratio, least(1.0, ratio * factor) AS p FROM rated, scale)",
+    ]
     draw = "CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(16, 13)"
     return "WITH " + ",\n".join(parts) + f"""
         SELECT doc_id, topic, w.tokens AS n_tokens, round(ratio, 6) AS weight, round(p, 6) AS probability, {draw} < p AS kept

@@ -262,12 +262,12 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    Votes are taken twice, once for the model and once for the rows themselves, which
-    costs less than moving every text to its stored votes.
+    Every row is stored with its votes, so texts are counted once; the model reads the
+    votes alone, and no text is shuffled.
     """
-    voted = text_counts(docs, []).select(votes().alias("votes"))
-    model = settle(quality_model(voted), "quality-model")
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     rows = numbered.withColumn("text", F.col("__row.text"))
-    judged = _judged(text_counts(rows, ["__row"]).withColumn("votes", votes()), model)
-    return judged.where("kept").select("__row.*")
+    counted = text_counts(rows, ["__row"]).select("__row", "base_failed", votes().alias("votes"))
+    voted = settle(counted, "voted-rows")
+    model = settle(quality_model(voted), "quality-model")
+    return _judged(voted, model).where("kept").select("__row.*")
