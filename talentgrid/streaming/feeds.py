@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
@@ -140,62 +141,94 @@ def latest_counts(spark: SparkSession, folder: str, key: str = "company_slug") -
     return _last_changes(spark, folder, base, later, key).drop("_from")
 
 
+#: Stands for a missing ``order`` while rows are sorted: after all others.
+_LAST = 2**63 - 1
+#: Texts of keys keep what tells two keys apart.
+_KEY_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _sessions(spans: pd.DataFrame, width: int) -> pd.DataFrame:
+    """Spans (_key, _at, _order, _end) of a key that lie no more than ``width`` apart, as one.
+
+    It has the first row's _at and _order. All keys are worked through at once.
+    """
+    spans = spans.sort_values(["_key", "_at", "_order"], kind="stable", ignore_index=True)
+    key = spans["_key"].to_numpy()
+    other = np.concatenate([[True], key[1:] != key[:-1]])
+    upto = spans.groupby(np.cumsum(other))["_end"].cummax().to_numpy()
+    begins = other.copy()
+    begins[1:] |= spans["_at"].to_numpy()[1:] - upto[:-1] > width
+    starts = np.flatnonzero(begins)
+    last = np.concatenate([starts[1:], [len(spans)]]) - 1
+    return spans.iloc[starts].assign(_end=upto[last]).reset_index(drop=True)
+
+
 def first_of_session(feed: DataFrame, keys: Sequence[str], event_time: str, order: str, gap: str,
-                     delay: str) -> DataFrame:
+                     delay: str, buckets: int = 1024) -> DataFrame:
     """The first row of each session of each key: (keys, event_time, order).
 
     Rows of a key belong to one session while no two neighbours lie more than ``gap``
     apart. The earliest row by (event_time, order) of the batch in which a session begins
     wins and is given at once; repeats within the session go. A key's state is the end of
-    its session; a timer drops it once the watermark, ``delay`` behind the latest row, has
+    its session; it is dropped once the watermark, ``delay`` behind the latest row, has
     passed that end by the gap. So state holds the open sessions, not all keys ever seen.
     A row that comes late never replaces a winner, and rows later than the watermark are
     lost. Rows without an event time are no part of any session. ``order`` is a whole number.
+
+    Keys fall into ``buckets`` by their hash. A bucket is one row of state with one timer and
+    one call in Python for all its keys that a batch brings; the number stays with a checkpoint.
     """
     width = int(pd.Timedelta(gap).value // 1000)
-    names = [*keys, event_time, order]
     kinds = {f.name: f.dataType.simpleString() for f in feed.schema}
     rows = feed.where(F.col(event_time).isNotNull()).select(
-        *names, F.unix_micros(F.col(event_time)).alias("_at")
+        event_time, F.unix_micros(F.col(event_time)).alias("_at"), _bucket(keys, buckets).alias("_bucket"),
+        F.to_json(F.struct(*keys), _KEY_TEXT).alias("_key"),
+        F.coalesce(F.col(order).cast("long"), F.lit(_LAST)).alias("_order"),
     ).withWatermark(event_time, delay)
 
-    def begun(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def keep(state: GroupState, ends: pd.Series) -> None:
+        # A key goes by the time at which its own timer would have gone off.
+        mark = state.getCurrentWatermarkMs()
+        over = (ends + width) // 1000 + 1
+        ends = ends[over > mark]
+        if not len(ends):
+            if state.exists:
+                state.remove()
+            return
+        state.update((pickle.dumps((ends.index.tolist(), ends.tolist())),))
+        state.setTimeoutTimestamp(max(int(over[over > mark].min()), mark + 1))
+
+    def begun(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, ends = pickle.loads(bytes(state.get[0])) if state.exists else ([], [])
+        last = pd.Series(ends, index=pd.Index(held, dtype=object), dtype="int64")
         if state.hasTimedOut:
-            state.remove()
+            keep(state, last)
             return
-        # Sessions of this batch, in order: their winner and their end. Chunks of a key's
-        # rows come in any order, so each is folded into the sessions found before.
-        found: list[tuple[int, int, int]] = []
+        # Sessions of this batch. Chunks of a bucket's rows come in any order, so they are
+        # folded into the sessions found before, as soon as they are more than these.
+        found, pending = None, []
         for chunk in chunks:
-            ordered = chunk[["_at", order]].sort_values(["_at", order], kind="stable")
-            at, number = ordered["_at"].to_numpy(), ordered[order].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], np.diff(at) > width]))
-            ends = np.concatenate([starts[1:], [len(at)]]) - 1
-            merged: list[tuple[int, int, int]] = []
-            for one in sorted([*found, *((int(at[s]), int(number[s]), int(at[e])) for s, e in zip(starts, ends))]):
-                if merged and one[0] - merged[-1][2] <= width:
-                    merged[-1] = (*merged[-1][:2], max(merged[-1][2], one[2]))
-                else:
-                    merged.append(one)
-            found = merged
-        last = state.get[0] if state.exists else None
-        new = [s for s in found if last is None or s[0] - last > width]
-        end = max([s[2] for s in found] + ([last] if last is not None else []))
-        state.update((end,))
-        state.setTimeoutTimestamp(max((end + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if new:
-            yield pd.DataFrame(
-                {**{k: [v] * len(new) for k, v in zip(keys, key)},
-                 "_at": [s[0] for s in new], order: [s[1] for s in new]}
-            )
-
-    out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_at long", f"`{order}` {kinds[order]}"])
-    winners = rows.groupBy(*keys).applyInPandasWithState(
-        begun, out, "last long", "append", GroupStateTimeout.EventTimeTimeout
+            pending.append(chunk[["_key", "_at", "_order"]].assign(_end=chunk["_at"]))
+            if sum(map(len, pending)) > max(50_000, 0 if found is None else len(found)):
+                found, pending = _sessions(pd.concat([*([] if found is None else [found]), *pending]), width), []
+        if pending:
+            found = _sessions(pd.concat([*([] if found is None else [found]), *pending]), width)
+        at = last.index.get_indexer(found["_key"])
+        before = last.to_numpy()[at] if len(last) else 0
+        new = found[(at < 0) | (found["_at"].to_numpy() - before > width)]
+        now = found.groupby("_key")["_end"].max()
+        keep(state, pd.concat([last, now]).groupby(level=0).max())
+        if len(new):
+            yield new[["_key", "_at", "_order"]]
+
+    winners = rows.groupBy("_bucket").applyInPandasWithState(
+        begun, "_key string, _at long, _order long", "open binary", "append", GroupStateTimeout.EventTimeTimeout
     )
+    layout = T.StructType([feed.schema[k] for k in keys])
     return winners.select(
-        *keys, F.timestamp_micros("_at").cast(kinds[event_time]).alias(event_time), order
-    )
+        F.from_json("_key", layout, _KEY_TEXT).alias("_named"), F.timestamp_micros("_at").cast(kinds[event_time]).alias(event_time),
+        F.nullif(F.col("_order"), F.lit(_LAST)).cast(kinds[order]).alias(order),
+    ).select(*[F.col("_named")[k].alias(k) for k in keys], event_time, order)
 
 
 @contextmanager

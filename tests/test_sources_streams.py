@@ -227,6 +227,27 @@ def test_state_ends_with_the_session(spark, tmp_path):
     assert spark.read.parquet(out).count() == 84
 
 
+def test_keys_of_sessions_share_rows_of_state(spark, tmp_path):
+    """A batch makes one call and one row of state a bucket, not a key; keys come back as they were."""
+    draw, schema = random.Random(5), "k string, n long, ts timestamp, id long"
+    start, large = datetime.datetime(2024, 1, 1), 2**53 + 1
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    keys = [(f"k{i % 40}", large + i) for i in range(120)] + [(None, large), ("k1", None), (None, None), ('a"\\', 0)]
+    rows = [(k, start + datetime.timedelta(minutes=draw.randint(0, 600)), i) for i, k in enumerate(keys * 5)]
+    rows.sort(key=lambda r: r[1])
+    for own in (rows[:250], rows[250:]):
+        _deliver(spark, [(*k, at, i) for k, at, i in own], source, schema)
+        first = feeds.first_of_session(
+            feeds.read_feed(spark, source, schema), ["k", "n"], "ts", "id", "2 hours", "1 minute", buckets=3
+        )
+        with feeds.state_on_disk(spark):
+            query = feeds.append_rows(first, out, state)
+            query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    found = spark.read.parquet(out).collect()
+    assert sorted((((r.k, r.n), r.id) for r in found), key=str) == _session_starts(rows, 2 * 3600)
+
+
 def test_every_entry_is_a_job_or_rejected(spark):
     job = {"job": {"slug": "a"}, "company": {"slug": "c"}}
     entries = [job, {"job": {}, "company": {"slug": "c"}}, {"job": {"slug": "b"}}, {"job": {"title": "t"}, "company": {"slug": "w"}},
