@@ -125,3 +125,17 @@ def test_saved_rows_answer_for_the_chosen_skills_alone(posted, rows):
         P.skill_frequency(posted(JOBS)), "skill", "mentions")
     chosen = P.postings_of_rows(saved.where("skill = 'sql'"))
     assert {r["skill"] for r in P.skill_frequency(chosen).collect()} == {"sql"}
+
+
+def test_pivot_groups_are_counted_in_rows_or_by_cells(posted, rows):
+    """No cell is shuffled unless its group is large; both ways give the same rows."""
+    jobs = [(i, f"2024-0{1 + i % 4}", "Senior", ["python", "sql", f"s{i % 5}"]) for i in range(40)]
+    jobs += [(100, "2024-09", "Lead", ["sql"]), (101, "2024-09", "Lead", ["python", "sql"])]
+    small, mixed, large = (P.skill_pivot(posted(jobs), n) for n in (1000, 10, 0))
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = rows(small)
+    assert got == rows(mixed) == rows(large)
+    cell = {(r[0], r[7]): (r[9], round(r[10], 6)) for r in got}
+    assert cell["2024-09", "sql"] == (2, 66.666667)
+    assert cell["2024-01", "python"] == (10, 33.333333)
